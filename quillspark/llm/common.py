@@ -4,10 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from quillspark.shipping import ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -58,3 +63,22 @@ def fresh(df: DataFrame | Iterable[str], *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def map_columns(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
+    """Apply fn to lists of the columns of df, `rows` rows at a time; fn returns a list for each column of schema.
+
+    Arrow carries the rows to Python and back; no more than one slice of one batch is held as Python objects.
+    """
+    ship_package(df.sparkSession)
+    kind = T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                out = fn(*[c.to_pylist() for c in part.columns])
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow)], schema=arrow)
+
+    return df.mapInArrow(run, kind)

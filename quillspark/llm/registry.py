@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import mixing, sharding
+from quillspark.llm import fingerprints, language, mixing, secrets, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,6 +14,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_sharding": sharding.op1_sharding,
+        "op2_language": language.op2_language,
+        "op3_secrets": secrets.op3_secrets,
+        "op4_fingerprints": fingerprints.op4_fingerprints,
         "op6_mixing": mixing.op6_mixing,
     }
 
