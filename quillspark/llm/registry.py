@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import fingerprints, language, mixing, secrets, sharding, toxicity
+from quillspark.llm import decontamination, fingerprints, language, mixing, secrets, sharding, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op3_secrets": secrets.op3_secrets,
         "op4_fingerprints": fingerprints.op4_fingerprints,
         "op6_mixing": mixing.op6_mixing,
+        "op8_decontamination": decontamination.op8_decontamination,
         "op9_toxicity": toxicity.op9_toxicity,
     }
 
@@ -25,4 +26,5 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op6_mixing": mixing.OP6_SQL,
+        "op8_decontamination": decontamination.OP8_SQL,
     }
