@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -38,7 +39,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     The files outlive lost executors, and every later use reads one and the same set of rows.
     """
     path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -82,3 +83,20 @@ def map_columns(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, arrow)], schema=arrow)
 
     return df.mapInArrow(run, kind)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete the files of materialized frames that nothing will read again."""
+    for df in frames:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/quillspark/" in path:
+                target = jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of frames that are no longer referenced."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
