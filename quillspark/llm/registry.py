@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontamination, fingerprints, language, mixing, near_duplicates, secrets, sharding, toxicity
+from quillspark.llm import decontamination, fingerprints, language, mixing, near_duplicates, secrets, sharding, suffix_repeats, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "op4_fingerprints": fingerprints.op4_fingerprints,
         "op5_near_duplicates": near_duplicates.op5_near_duplicates,
         "op6_mixing": mixing.op6_mixing,
+        "op7_suffix_repeats": suffix_repeats.op7_suffix_repeats,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_toxicity": toxicity.op9_toxicity,
     }
