@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontamination, fingerprints, language, mixing, near_duplicates, secrets, sharding, suffix_repeats, toxicity
+from quillspark.llm import decontamination, fingerprints, language, mixing, near_duplicates, pitman_yor, secrets, sharding, suffix_repeats, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op7_suffix_repeats": suffix_repeats.op7_suffix_repeats,
         "op8_decontamination": decontamination.op8_decontamination,
         "op9_toxicity": toxicity.op9_toxicity,
+        "op10_pitman_yor": pitman_yor.op10_pitman_yor,
     }
 
 
