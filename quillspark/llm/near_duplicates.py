@@ -5,16 +5,16 @@ of each class goes on. A SetSketch is made of it: `registers` exponential minima
 `base`. Registers of a union are the larger ones of its parts, so sketches merge; equal registers are
 the likelier, the more alike two sets are. Bands of registers put likely pairs into one bucket.
 
-1. In every bucket, each class is paired with the least class there. Pairs that the likelihood of their
-   registers doesn't rule out are compared set with set, and the links give first components.
-2. Buckets that still hold several components are searched in blocks of bounded size: registers of
-   classes of different components are compared in memory, and a pair leaves the block only if its
-   likeliest similarity is near the threshold, from the first bucket that it shares. These pairs
-   are compared set with set too.
+1. In every bucket, each class is paired with the least class there, and the joint likelihood of their registers
+   says how alike they probably are. Pairs that it doesn't rule out are compared set with set: the links give
+   first components. Pairs that are loosely alike give clusters, far wider than components.
+2. Clusters that still hold several components are searched in blocks of bounded size. In a block, each class
+   outside the largest component meets all classes of other components, by registers and then by whole
+   sets, and only links that join components leave it.
 
-So all pairs that share a bucket are tested unless they are in one component already, and a group of
-many copies costs about one pair for each of them. With the default bands a pair at the
-threshold shares no bucket with a probability of about 6e-9.
+So a group of many copies costs about one pair for each of them, and no link is lost to a cap. With the default
+bands a pair at the threshold shares no bucket with a probability of about 6e-9; it then shares about 16 buckets,
+and is in one cluster unless in each of them one of the two is far from the least class.
 
 Edge cases: a text of fewer than five words is one shingle, a null text or one without words has an
 empty set and is linked with nothing; rows of one id are one node, whatever their texts; a row with a null
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillspark.llm.common import LOWER, UPPER, map_columns, materialize, table
+from quillspark.llm.common import LOWER, UPPER, discard, map_columns, materialize, release_shuffles, table
 from quillspark.llm.components import connected_components
 from quillspark.shipping import ship_package
 
@@ -48,7 +48,8 @@ SHINGLE = 5
 @dataclass(frozen=True)
 class Settings:
     """base, rate: of the registers; bands of band_rows registers each; percent: 100 times the least similarity;
-    slack: how far below it a likeliest similarity may be before a pair is dropped unseen; block: most rows compared in memory."""
+    slack: how far below it a likeliest similarity may be before a pair is dropped unseen; loose: the same for clusters; block, block_shingles:
+    about how many rows, and shingles, a block has; two are in memory at once."""
 
     base: float = 1.02
     rate: float = 20.0
@@ -56,7 +57,9 @@ class Settings:
     band_rows: int = 6
     percent: int = 85
     slack: float = 0.12
+    loose: float = 0.45
     block: int = 1024
+    block_shingles: int = 500_000
     seed: int = 11
 
     @property
@@ -87,7 +90,8 @@ def shingles(text: str | None) -> np.ndarray:
     found = WORD.findall(text.translate(ASCII_LOWER)) if text else []
     if not found:
         return np.zeros(0, np.uint64)
-    h = np.array([_hash_word(w) for w in found], np.uint64)
+    get = _word_hashes.get
+    h = np.array([get(w) or _hash_word(w) for w in found], np.uint64)
     n = min(SHINGLE, len(h))
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
@@ -101,16 +105,20 @@ class SetSketch:
     def __init__(self, s: Settings):
         rng = np.random.default_rng(s.seed)
         self.s = s
-        self.mult = rng.integers(1, 2**63, s.registers, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.add = rng.integers(0, 2**63, s.registers, dtype=np.uint64)
+        self.mult = rng.integers(0, 2**31, s.registers, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.again = rng.integers(0, 2**31, s.registers, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.log_base = float(np.log(s.base))
 
     def registers(self, hashes: np.ndarray) -> np.ndarray:
         """K = floor(1 - log_base(x)) for the least of exponential variables x of the given rate, within 16 bits."""
-        least = np.full(self.s.registers, np.iinfo(np.uint64).max, np.uint64)
-        for i in range(0, len(hashes), 2048):
-            least = np.minimum(least, (hashes[i:i + 2048, None] * self.mult + self.add).min(0))
-        x = -np.log1p(-((least.astype(np.float64) + 0.5) / 2.0**64)) / self.s.rate
+        least = np.full(self.s.registers, np.iinfo(np.uint32).max, np.uint32)
+        short = (hashes >> np.uint64(32)).astype(np.uint32)
+        for i in range(0, len(short), 128):  # blocks that stay in the cache
+            h = short[i:i + 128, None] * self.mult
+            h ^= h >> np.uint32(15)
+            h *= self.again
+            np.minimum(least, h.min(0), out=least)
+        x = -np.log1p(-((least.astype(np.float64) + 0.5) / 2.0**32)) / self.s.rate
         return np.clip(np.floor(1 - np.log(np.maximum(x, 1e-300)) / self.log_base), 0, 65535).astype(np.uint16)
 
     @staticmethod
@@ -170,8 +178,8 @@ def sketch_documents(docs: DataFrame, id_col: str, text_col: str, s: Settings) -
                        f"doc_id {kind}, n_shingles long, set_a long, set_b long, registers binary, keys array<long>")
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
-    """a and b of the pairs that are linked: first by the likelihood of their registers, then by their whole sets."""
+def _compare_pairs(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """a, b and linked of the pairs that are at least loosely alike: first by the likelihood of their registers, then by whole sets."""
     sketcher = SetSketch(s)
     side = lambda c: sets.select(F.col("node").alias(c), F.col("registers").alias(f"r{c}"), F.col("members").alias(f"s{c}"))
 
@@ -179,73 +187,84 @@ def _verify(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
         x, y = [np.frombuffer(m, np.uint64) for m in sa], [np.frombuffer(m, np.uint64) for m in sb]
         guess = sketcher.compare(np.stack([np.frombuffer(r, np.uint16) for r in ra]), np.stack([np.frombuffer(r, np.uint16) for r in rb]),
                                  np.array([len(m) for m in x]), np.array([len(m) for m in y]))
-        hits = [i for i in range(len(a)) if guess[i] >= s.percent / 100 - s.slack and linked(x[i], y[i], s.percent)]
-        return [[a[i] for i in hits], [b[i] for i in hits]]
+        near = [i for i in range(len(a)) if guess[i] >= s.percent / 100 - s.loose]
+        sure = [bool(guess[i] >= s.percent / 100 - s.slack) and linked(x[i], y[i], s.percent) for i in near]
+        return [[a[i] for i in near], [b[i] for i in near], sure]
 
     kind = pairs.schema["a"].dataType.simpleString()
     joined = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ra", "rb", "sa", "sb")
-    return map_columns(joined, check, f"a {kind}, b {kind}", rows=256)
+    return map_columns(joined, check, f"a {kind}, b {kind}, linked boolean", rows=256)
+
+
+class Block:
+    """Classes of one cluster, in memory: node, half, component, registers and sets."""
+
+    def __init__(self, rows: list[tuple], sketcher: SetSketch):
+        self.s, self.sketcher = sketcher.s, sketcher
+        self.half, self.node, components, registers, sets = zip(*rows)
+        label = {c: i for i, c in enumerate(dict.fromkeys(components))}
+        self.component = np.array([label[c] for c in components])
+        self.registers = np.stack([np.frombuffer(r, np.uint16) for r in registers])
+        self.size = np.array([len(m) // 8 for m in sets])
+        self.start = np.r_[0, np.cumsum(self.size)]
+        ids, self.flat = np.unique(np.frombuffer(b"".join(sets), np.uint64), return_inverse=True)
+        self.mark = np.zeros(len(ids), bool)
+
+    def links(self, same: bool) -> Iterator[tuple]:
+        """Pairs that are linked and join two components; not same: only between different halves."""
+        s, size, half, cut = self.s, self.size, np.array(self.half), self.s.percent / 100 - self.s.slack
+        largest = np.bincount(self.component).argmax()
+        for i in range(len(size)):
+            if self.component[i] == largest:
+                continue
+            fit = (self.component != self.component[i]) & (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * s.percent)
+            if not same:
+                fit &= half != half[i]
+            at = np.flatnonzero(fit)
+            at = at[(self.registers[at] == self.registers[i]).mean(1) >= cut - 0.03] if len(at) else at
+            if not len(at):
+                continue
+            at = at[self.sketcher.compare(np.broadcast_to(self.registers[i], (len(at), s.registers)), self.registers[at], np.full(len(at), float(size[i])), size[at].astype(float)) >= cut]
+            mine = self.flat[self.start[i]:self.start[i + 1]]
+            self.mark[mine] = True
+            for j in at:
+                if self.component[j] != self.component[i]:
+                    common = int(self.mark[self.flat[self.start[j]:self.start[j + 1]]].sum())
+                    if 100 * common >= s.percent * (size[i] + size[j] - common):
+                        gone, stays = (self.component[i], self.component[j])
+                        self.component[self.component == gone] = stays
+                        yield self.node[i], self.node[j], True
+            self.mark[mine] = False
 
 
 def _search_blocks(rows: DataFrame, kind: str, s: Settings) -> DataFrame:
-    """a < b of different components that share a bucket first in this one and are likely to be linked.
-
-    rows: key, left, right (the two blocks of the bucket that meet; each at most s.block rows), half, node, component,
-    n_shingles, registers; sorted by key, left, right within its partitions.
-    """
+    """a, b, linked from rows (cluster, left, right, half, node, component, registers, members), sorted by the first three
+    within partitions: left and right are the two blocks of the cluster that meet."""
     sketcher = SetSketch(s)
-    schema = T.StructType.fromDDL(f"a {kind}, b {kind}")
+    schema = T.StructType.fromDDL(f"a {kind}, b {kind}, linked boolean")
     arrow = to_arrow_schema(schema)
-    cut = s.percent / 100 - s.slack
-
-    def meet(key: int, same: bool, unit: list[tuple]) -> Iterator[tuple]:
-        regs = np.stack([np.frombuffer(x[4], np.uint16) for x in unit])
-        size = np.array([x[3] for x in unit], float)
-        label = {c: i for i, c in enumerate(dict.fromkeys(x[2] for x in unit))}
-        comp = np.array([label[x[2]] for x in unit])
-        half = np.array([x[0] for x in unit])
-        largest = np.bincount(comp).argmax()
-        for i in range(len(unit)):
-            # Each pair is seen from its member outside the largest component, or from its first one.
-            others = (comp != comp[i]) & (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * s.percent)
-            if not same:
-                others &= half != half[i]
-            if comp[i] == largest:
-                continue
-            others &= (comp == largest) | (np.arange(len(unit)) > i)
-            at = np.flatnonzero(others)
-            if not len(at):
-                continue
-            at = at[(regs[at] == regs[i]).mean(1) >= cut - 0.03]
-            if not len(at):
-                continue
-            guess = sketcher.compare(np.broadcast_to(regs[i], (len(at), s.registers)), regs[at], np.full(len(at), size[i]), size[at])
-            for j in at[guess >= cut]:
-                bands = (regs[i] == regs[j]).reshape(s.bands, s.band_rows).all(1)
-                if sketcher.band_keys(regs[i])[0, bands.argmax()] == key:
-                    a, b = unit[i][1], unit[j][1]
-                    yield (a, b) if a < b else (b, a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, now = [], None
 
-        def out(now, unit):
-            found = list(meet(now[0], now[1] == now[2], unit)) if len(unit) > 1 else []
+        def close() -> Iterator[pa.RecordBatch]:
+            found = list(Block(unit, sketcher).links(now[1] == now[2])) if len(unit) > 1 else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), arrow)], schema=arrow)
 
         for batch in batches:
-            for key, left, right, *row in zip(*[c.to_pylist() for c in batch.columns]):
-                if (key, left, right) != now:
-                    if now:
-                        yield from out(now, unit)
-                    unit, now = [], (key, left, right)
-                unit.append(tuple(row))
-        if now:
-            yield from out(now, unit)
+            for at in range(0, batch.num_rows, 256):
+                for cluster, left, right, *row in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
+                    if (cluster, left, right) != now:
+                        if unit:
+                            yield from close()
+                        unit, now = [], (cluster, left, right)
+                    unit.append(tuple(row))
+        if unit:
+            yield from close()
 
     ship_package(rows.sparkSession)
-    return rows.select("key", "left", "right", "half", "node", "component", "n_shingles", "registers").mapInArrow(run, schema)
+    return rows.select("cluster", "left", "right", "half", "node", "component", "registers", "members").mapInArrow(run, schema)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
@@ -271,23 +290,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     held = here.join(text, here["node"] == text["text_id"]).select("node", "set_a", "set_b", "n_shingles", "registers", "text")
     sets = materialize(map_columns(held, with_sets, f"node {kind}, n_shingles long, registers binary, members binary"), "sets")
 
-    first = materialize(_verify(pairs, sets, s), "links")
-    labels = connected_components(first)
-    labelled = members.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select(
-        "key", "node", "n", F.coalesce("component", "node").alias("component"))
-    open_keys = labelled.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    blocks = F.ceil(F.col("n") / F.lit(s.block)).cast("int")
-    mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    in_open = (
-        labelled.join(open_keys, "key").withColumn("blocks", blocks).withColumn("half", mine)
+    first = materialize(_compare_pairs(pairs, sets, s), "links")
+    discard(members, pairs)
+    release_shuffles(docs.sparkSession)
+    labels = connected_components(first.where("linked"))
+    clusters = connected_components(first).select(F.col("node").alias("in"), F.col("component").alias("cluster"))
+    placed = clusters.join(labels, F.col("in") == F.col("node"), "left").select(F.col("in").alias("of"), "cluster", F.coalesce("component", "in").alias("component"))
+    whole = sets.select("node", F.col("n_shingles").alias("n"), "registers", "members").join(placed, F.col("node") == F.col("of"))
+    sizes = sets.select("node", F.col("n_shingles").alias("n")).join(placed, F.col("node") == F.col("of")).groupBy(F.col("cluster").alias("c")).agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    split = materialize(sizes.where("c0 <> c1").select("c", F.ceil(F.greatest(F.col("k") / s.block, F.col("total") / s.block_shingles)).cast("int").alias("blocks")), "open-clusters")
+    rows = (
+        whole.join(split, F.col("cluster") == F.col("c")).withColumn("half", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("left", F.least("half", "other")).withColumn("right", F.greatest("half", "other"))
     )
-    rows = in_open.join(one.select(F.col("node").alias("of"), "n_shingles", "registers"), F.col("node") == F.col("of"))
-    spread = rows.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right")
-    more = materialize(_search_blocks(spread, kind, s).distinct(), "block-pairs")
-    second = materialize(_verify(more, sets, s), "links")
-    labels = connected_components(first.unionByName(second)) if not second.isEmpty() else labels
+    spread = rows.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
+    second = materialize(_search_blocks(spread, kind, s), "links")
+    discard(sets)
+    labels = connected_components(first.where("linked").unionByName(second)) if not second.isEmpty() else labels
 
     of_class = classes.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select(
         F.col("set_a").alias("ca"), F.col("set_b").alias("cb"), F.coalesce("component", "node").alias("component"))
