@@ -6,10 +6,13 @@ from pyspark.sql import SparkSession
 
 
 def build_session(master: str = "local[*]", app: str = "quillspark", shuffle_partitions: int = 8,
-                  driver_memory: str = "8g") -> SparkSession:
-    """A session with AQE and UTC on; every other setting stays Spark's own."""
+                  driver_memory: str = "8g", **settings: str) -> SparkSession:
+    """A session with AQE and UTC on; settings are more of Spark's, with _ for dots. Every other one stays Spark's own."""
+    builder = SparkSession.builder
+    for key, value in settings.items():
+        builder = builder.config(key.replace("_", "."), value)
     return (
-        SparkSession.builder.master(master).appName(app)
+        builder.master(master).appName(app)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -16,8 +16,8 @@ except ImportError:
 
 def whole_files(spark: SparkSession, root: str, pattern: str, recursive: bool = False) -> DataFrame:
     """path and text of the files below root whose name fits the pattern; one level unless recursive."""
-    reader = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    return reader.text(root).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    rows = spark.read.text(root, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=recursive)
+    return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def query_files(spark: SparkSession, path: str) -> DataFrame:
