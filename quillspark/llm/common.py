@@ -18,6 +18,8 @@ from quillspark.shipping import ship_package
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
+_own_roots: dict[str, str] = {}  # by application, where spark.checkpoint.dir is unset
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the standard tables; the path goes to Spark's reader as it is."""
@@ -28,8 +30,8 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="quillspark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _own_roots.get(app) or _own_roots.setdefault(app, tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
     return base.rstrip("/") + "/quillspark"
 
 
