@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold, fresh, materialize, table
+from quillspark.llm.common import fold, materialize, table
 from quillspark.llm.decontamination import decontaminate
 from quillspark.llm.language import predict, train
 from quillspark.llm.mixing import mix_sources
@@ -23,9 +23,8 @@ SHARDS = 16
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is not rejected, and their lang as predicted. The models learn as in op2."""
     trained = train(docs.where(fold("doc_id", 4) != 2))
-    lang, = fresh(docs, "_given_lang")
-    judged = predict(docs.withColumnRenamed("lang", lang), trained, [c if c != "lang" else F.col(lang) for c in docs.columns])
-    return judged.where(~F.col("rejected")).withColumn(lang, F.col("lang_pred")).withColumnRenamed(lang, "lang").select(docs.columns)
+    judged = predict(docs, trained, [F.struct(*[docs[c] for c in docs.columns]).alias("row")])
+    return judged.where(~F.col("rejected")).select(*[F.col("lang_pred").alias("lang") if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,13 +68,13 @@ def fresh(df: DataFrame | Iterable[str], *names: str) -> list[str]:
     return out
 
 
-def map_columns(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
+def map_columns(df: DataFrame, fn, schema: str | T.StructType, rows: int = 512) -> DataFrame:
     """Apply fn to lists of the columns of df, `rows` rows at a time; fn returns a list for each column of schema.
 
     Arrow carries the rows to Python and back; no more than one slice of one batch is held as Python objects.
     """
     ship_package(df.sparkSession)
-    kind = T.StructType.fromDDL(schema)
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     arrow = to_arrow_schema(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,6 +87,11 @@ def map_columns(df: DataFrame, fn, schema: str, rows: int = 512) -> DataFrame:
     return df.mapInArrow(run, kind)
 
 
+def with_fields(kept: DataFrame, more: str) -> T.StructType:
+    """The columns of kept and then those of a DDL text, whatever the names."""
+    return T.StructType([*kept.schema.fields, *T.StructType.fromDDL(more).fields])
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete the files of materialized frames that nothing will read again."""
     for df in frames:

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold, map_columns, materialize, table
+from quillspark.llm.common import fold, map_columns, materialize, table, with_fields
 
 ORDER = 4
 UNKNOWN = "und"
@@ -286,9 +286,8 @@ def predict(docs: DataFrame, trained: tuple[Model, Calibration] | None, keep: li
         score = np.where(n > 0, _confidence(h, limits.scale), 0.0)
         return [*columns[:width], langs, score.tolist(), [float(x) if k else None for x, k in zip(low, n)], odd.tolist()]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
     return map_columns(docs.select(*keep, F.col(text_col).alias("_text_to_judge")), decide,
-                       f"{fields}, lang_pred string, score double, entropy double, rejected boolean")
+                       with_fields(kept, "lang_pred string, score double, entropy double, rejected boolean"))
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -73,7 +73,7 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
     is by source and salt, so that a source with a third of the rows goes to many tasks.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ADDED])
-    src, draws, cdf, salt, key = fresh([*docs.columns, *ADDED], "_source", "_draws", "_cdf", "_salt", "_id")
+    src, draws, cdf, salt, each_salt = fresh([*docs.columns, *ADDED], "_source", "_draws", "_cdf", "_salt", "_each")
     rates = materialize(source_rates(docs, weights, exponent, total, source_col), "source-rates").select(
         F.col("_source").alias(src), "rate", F.col("draws").alias(draws), F.col("cdf").alias(cdf))
     same = docs[source_col].eqNullSafe(F.col(src))
@@ -81,8 +81,8 @@ def mix_sources(docs: DataFrame, weights: Mapping[str | None, float] | None = No
         joined = docs.join(F.broadcast(rates), same)
     else:
         dealt = docs.withColumn(salt, F.pmod(F.xxhash64(F.col(id_col)), F.lit(salts)))
-        each = rates.withColumn("_each", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = dealt.join(each, dealt[source_col].eqNullSafe(F.col(src)) & (F.col(salt) == F.col("_each"))).drop(salt, "_each")
+        each = rates.withColumn(each_salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = dealt.join(each, dealt[source_col].eqNullSafe(F.col(src)) & (F.col(salt) == F.col(each_salt))).drop(salt, each_salt)
     name = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     drawn = F.aggregate(
         F.sequence(F.lit(1), F.col(draws)), F.lit(0),

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillspark.llm.common import LOWER, UPPER, discard, map_columns, materialize, release_shuffles, table
+from quillspark.llm.common import LOWER, UPPER, discard, fresh, map_columns, materialize, release_shuffles, table
 from quillspark.llm.components import connected_components
 from quillspark.shipping import ship_package
 
@@ -319,8 +319,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """The rows of docs, all columns kept, whose id is the least of its component; of rows with one id and text one stays."""
-    gone = near_duplicates(docs, id_col, text_col, s).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti").dropDuplicates([id_col, text_col])
+    gone_id, = fresh(docs, "_gone")
+    gone = near_duplicates(docs, id_col, text_col, s).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
+    return docs.join(gone, docs[id_col] == F.col(gone_id), "left_anti").dropDuplicates([id_col, text_col])
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

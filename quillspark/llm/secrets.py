@@ -64,9 +64,9 @@ def _compressor() -> zstandard.ZstdCompressor:
 
 
 def novelty(before: str, token: str, after: str) -> int:
-    """Bytes that the token adds when it is compressed behind its surroundings."""
+    """Bytes that the token adds when it is compressed behind its surroundings, which must not hold it themselves."""
     pack = _compressor().compress
-    around = f"{before}\n{after}\n".encode("utf-8", "surrogatepass")
+    around = f"{before}\n{after}\n".replace(token, "").encode()
     return len(pack(around + token.encode())) - len(pack(around))
 
 

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fresh, materialize, table
+from quillspark.llm.common import materialize, table
 
 KEY = ("_k0", "_k1", "_k2")
 LOWEST = -1
@@ -181,15 +181,14 @@ def shard_documents(docs: DataFrame, n_shards: int = 16, tolerance: float = 1e-3
     the scan; an input that is not read from files should be materialized first.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() == shard_col.lower()])
+    # Rows travel as one struct, so that no column of theirs can clash with the key's.
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *keyed(docs, id_col, text_col))
     keys = materialize(docs.select(size_of(text_col).alias("size"), *keyed(docs, id_col, text_col)), "shard-keys")
     splitters, _ = find_splitters(keys, n_shards, tolerance, first_probes)
-    hidden = fresh([*docs.columns, shard_col], *KEY)
-    if list(hidden) != list(KEY):
-        raise ValueError(f"columns {KEY} are reserved")
     return (
-        docs.select("*", *keyed(docs, id_col, text_col)).withColumn(shard_col, shard_of(splitters))
-        .repartition(F.col(shard_col), F.shiftright(F.col(KEY[0]), 55), F.shiftright(F.col(KEY[1]), 58))
-        .sortWithinPartitions(shard_col, *KEY).drop(*KEY)
+        packed.withColumn("to", shard_of(splitters))
+        .repartition(F.col("to"), F.shiftright(F.col(KEY[0]), 55), F.shiftright(F.col(KEY[1]), 58))
+        .sortWithinPartitions("to", *KEY).select("row.*", F.col("to").alias(shard_col))
     )
 
 

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold, map_columns, materialize, table
+from quillspark.llm.common import fold, map_columns, materialize, table, with_fields
 
 EDGE = ".,;:!?\"'()[]{}<>|%&$#*~`^=+-_/\\"
 
@@ -214,8 +214,7 @@ def score(docs: DataFrame, model: Model | None, keep: list[str | Column], text_c
         found = [shared.value.score(t) if shared.value else 0.0 for t in columns[width]]
         return [*columns[:width], found, [int(x >= 0.5) for x in found]]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return map_columns(docs.select(*keep, F.col(text_col).alias("_text_to_judge")), judge, f"{fields}, score double, predicted int")
+    return map_columns(docs.select(*keep, F.col(text_col).alias("_text_to_judge")), judge, with_fields(kept, "score double, predicted int"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
