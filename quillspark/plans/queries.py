@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import jsonx, text
 from quillspark.operators import contracts, graphs, matching, records, refine
+from quillspark.scratch import shared_root
 from quillspark.sources import external, files
 from quillspark.streaming import sessions
 
@@ -165,8 +166,7 @@ def take_until_terminal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/quillspark-streams"
-    return f"{base.rstrip('/')}/quillspark-streams/{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/streams-{uuid.uuid4().hex}"
 
 
 def session_stream(spark: SparkSession, d: str) -> DataFrame:
