@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -13,34 +12,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from quillspark.scratch import shared_root
 from quillspark.shipping import ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
-_own_roots: dict[str, str] = {}  # by application, where spark.checkpoint.dir is unset
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the standard tables; the path goes to Spark's reader as it is."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        app = spark.sparkContext.applicationId
-        base = _own_roots.get(app) or _own_roots.setdefault(app, tempfile.mkdtemp(prefix="quillspark-checkpoint-"))
-    return base.rstrip("/") + "/quillspark"
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back, which cuts the lineage.
 
     The files outlive lost executors, and every later use reads one and the same set of rows.
     """
-    path = f"{scratch_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

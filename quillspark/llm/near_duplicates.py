@@ -13,8 +13,8 @@ the likelier, the more alike two sets are. Bands of registers put likely pairs i
    sets, and only links that join components leave it.
 
 So a group of many copies costs about one pair for each of them, and no link is lost to a cap. With the default
-bands a pair at the threshold shares no bucket with a probability of about 6e-9; it then shares about 16 buckets,
-and is in one cluster unless in each of them one of the two is far from the least class.
+bands a pair of similarity 0.85 shares no bucket with a probability of about 6e-9, one of 0.8 with 3e-6. Such pairs share 16 or 11
+buckets on average, and are in one cluster unless in each of them one of the two is far from the least class.
 
 Edge cases: a text of fewer than five words is one shingle, a null text or one without words has an
 empty set and is linked with nothing; rows of one id are one node, whatever their texts; a row with a null
@@ -55,7 +55,7 @@ class Settings:
     rate: float = 20.0
     bands: int = 42
     band_rows: int = 6
-    percent: int = 85
+    percent: int = 80
     slack: float = 0.12
     loose: float = 0.45
     block: int = 1024
@@ -326,4 +326,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents, at a similarity of 0.85."""
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), s=Settings(percent=85))

@@ -221,7 +221,7 @@ def family(seed, n):
 def test_near_duplicates(spark, docs, rows, block):
     pairs = [(r[0], r[1]) for r in rows] + [(1000 + i, t) for i, t in enumerate(family(1, 60) + family(2, 30))]
     df = docs.select("doc_id", "text").unionByName(spark.createDataFrame(pairs[len(rows):], "doc_id long, text string"))
-    got = near_duplicates.near_duplicates(df, s=near_duplicates.Settings(block=block)).collect()
+    got = near_duplicates.near_duplicates(df, s=near_duplicates.Settings(block=block, percent=85)).collect()
     sets, find = brute_components(pairs)
     want = Counter((i, len(s), None if i is None else find(i)) for i, s in sets)
     seen = Counter((r["doc_id"], r["n_shingles"], None if r["doc_id"] is None else r["component_id"]) for r in got)
