@@ -11,8 +11,9 @@ its context.
    prefixes of neighbours gives the interval tree. In each interval the members are sorted by what precedes
    the anchor: where that differs, the interval splits into maximal repeats, and each member's longest
    repeat to the left and right is known.
-3. Hashes with more than `block` distinct contexts are not gathered anywhere: all their windows are hashed
-   and counted instead, which gives the same spans.
+3. Hashes with more than `block` distinct contexts are not gathered anywhere. Their windows are counted by hash
+   instead, in classes of `step` neighbouring ones: a class whose common core occurs once is done, as is one whose
+   whole stretch occurs again; only the windows of other classes are counted one by one. The spans are the same.
 
 Spans go back to all anchors with that context, and each document drops their union. Documents are keyed by id
 and text, so repeated rows count as repeats of each other. Hashes of 64 bits stand for strings of bytes.
@@ -41,11 +42,12 @@ from quillspark.shipping import ship_package
 @dataclass(frozen=True)
 class Settings:
     """length: of the strings that must not repeat; gram: bytes hashed for anchors; block: most contexts in one tree;
-    piece: window starts read at a time."""
+    step: windows of a class; piece: window starts read at a time."""
 
     length: int = 200
     gram: int = 32
-    block: int = 2048
+    block: int = 8192
+    step: int = 13
     piece: int = 1 << 19
 
     @property
@@ -210,21 +212,58 @@ def _tree_rows(rows: DataFrame, s: Settings) -> DataFrame:
     return rows.select("hash", "context", "left", "bytes").mapInArrow(run, schema)
 
 
-def _window_rows(rows: DataFrame, s: Settings) -> DataFrame:
-    """hash, context, back and window (a hash) of each window of each context: all strings of the length that hold the anchor."""
+def _backs(n: int, size: int, s: Settings) -> range:
+    """How many bytes before the anchor the windows of a context begin that has n bytes before it."""
+    return range(max(0, n + s.length - size), min(n, s.left) + 1)
 
-    def windows(hashes: list, contexts: list, lefts: list, data: list) -> list:
-        out: list[list] = [[], [], [], []]
-        for h, c, n, b in zip(hashes, contexts, lefts, data):
-            d = np.frombuffer(b, np.uint8)
-            back = np.arange(max(0, n + s.length - len(d)), min(n, s.left) + 1)
-            if len(back):
-                w = _mix(Hashes(d).of(n - back, n - back + s.length) ^ _mix(np.uint64(h & (2**64 - 1)) + back.astype(np.uint64)))
-                for column, x in zip(out, ([h] * len(back), [c] * len(back), back.tolist(), w.view(np.int64).tolist())):
-                    column.extend(x)
+
+def _shared(rows: DataFrame, key: str) -> DataFrame:
+    """The values of key that occur in several contexts, as column `again`."""
+    return rows.groupBy(F.col(key).alias("again")).agg(F.min("context").alias("c0"), F.max("context").alias("c1")).where("c0 <> c1").select("again")
+
+
+def _count_windows(contexts: DataFrame, s: Settings) -> DataFrame:
+    """hash, context, lo, hi like the trees', by counts of hashes alone; contexts: hash, context, left, bytes."""
+
+    def keyed(h: int, first: np.ndarray, values: np.ndarray) -> list[int]:
+        return _mix(values ^ _mix(np.uint64(h & (2**64 - 1)) + first.astype(np.uint64))).view(np.int64).tolist()
+
+    def classes(hashes: list, contexts_: list, lefts: list, data: list) -> list:
+        out: list[list] = [[] for _ in range(5)]
+        for h, c, n, b in zip(hashes, contexts_, lefts, data):
+            backs = _backs(n, len(b), s)
+            first = np.unique(np.array(backs, np.int64) // s.step) * s.step
+            if not len(first):
+                continue
+            d, last = Hashes(np.frombuffer(b, np.uint8)), first + s.step - 1
+            core = keyed(h, first, d.of(n - first, n + s.length - last))
+            full = (first >= backs.start) & (last < backs.stop)
+            whole = keyed(h, first, d.of(np.maximum(n - last, 0), np.minimum(n + s.length - first, len(b))))
+            for column, x in zip(out, ([h] * len(first), [c] * len(first), first.tolist(), core, [w if f else None for w, f in zip(whole, full)])):
+                column.extend(x)
+        return out
+
+    def windows(hashes: list, contexts_: list, lefts: list, data: list, firsts: list) -> list:
+        out: list[list] = [[] for _ in range(4)]
+        for h, c, n, b, starts in zip(hashes, contexts_, lefts, data, firsts):
+            backs = _backs(n, len(b), s)
+            back = np.array([x for f in starts for x in range(max(f, backs.start), min(f + s.step, backs.stop))], np.int64)
+            w = keyed(h, back, Hashes(np.frombuffer(b, np.uint8)).of(n - back, n - back + s.length))
+            for column, x in zip(out, ([h] * len(back), [c] * len(back), back.tolist(), w)):
+                column.extend(x)
         return out
 
-    return map_columns(rows.select("hash", "context", "left", "bytes"), windows, "hash long, context long, back int, window long", rows=128)
+    rows = contexts.select("hash", "context", "left", "bytes")
+    all_ = materialize(map_columns(rows, classes, "hash long, context long, first int, core long, whole long", rows=512), "window-classes")
+    alive = all_.join(_shared(all_, "core"), F.col("core") == F.col("again")).drop("again")
+    alive = materialize(alive.join(_shared(all_.where("whole is not null"), "whole"), F.col("whole") == F.col("again"), "left").withColumn("done", F.col("again").isNotNull()).drop("again"), "live-classes")
+    done = alive.where("done").select("hash", "context", (F.col("first") + s.step - 1).alias("lo"), (F.lit(s.length) - F.col("first")).alias("hi"))
+    # An open class may share windows with a class that is done: one context stands for all that have the same whole.
+    stand_in = alive.where("done").groupBy("whole").agg(F.min(F.struct("context", "hash", "first")).alias("x")).select("x.hash", "x.context", "x.first")
+    rest = alive.where(~F.col("done")).select("hash", "context", "first").unionByName(stand_in).groupBy("hash", "context").agg(F.collect_list("first").alias("firsts"))  # at most length / step
+    single = materialize(map_columns(rows.join(rest, ["hash", "context"]).select("hash", "context", "left", "bytes", "firsts"), windows, "hash long, context long, back int, window long", rows=512), "windows")
+    one = single.join(_shared(single, "window"), F.col("window") == F.col("again")).select("hash", "context", F.col("back").alias("lo"), (F.lit(s.length) - F.col("back")).alias("hi"))
+    return done.unionByName(one).groupBy("hash", "context").agg(F.max("lo").cast("int").alias("lo"), F.max("hi").cast("int").alias("hi"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
@@ -267,10 +306,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     release_shuffles(spark)
     small = bytes_.where(F.col("m") <= s.block).repartition("hash").sortWithinPartitions("hash")
     by_tree = _tree_rows(small, s)
-    windows = _window_rows(bytes_.where(F.col("m") > s.block), s)
-    shared = windows.groupBy("window").agg(F.count_distinct("context").alias("k")).where("k > 1").select(F.col("window").alias("again"))
-    by_window = windows.join(shared, F.col("window") == F.col("again")).groupBy("hash", "context").agg(F.max("back").alias("lo"), (F.lit(s.length) - F.min("back")).alias("hi"))
-    reach = by_tree.unionByName(by_window.select("hash", "context", F.col("lo").cast("int"), F.col("hi").cast("int")))
+    large = bytes_.where(F.col("m") > s.block)
+    reach = by_tree if large.isEmpty() else by_tree.unionByName(_count_windows(large, s))
     often = kinds.where("n > 1").select("hash", "context", F.col("one.left").cast("int").alias("lo"), F.col("one.right").cast("int").alias("hi")).where(F.col("lo") + F.col("hi") >= s.length)
     best = materialize(reach.unionByName(often).groupBy("hash", "context").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")), "reaches")
     release_shuffles(spark)
