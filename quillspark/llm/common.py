@@ -76,6 +76,21 @@ def map_columns(df: DataFrame, fn, schema: str | T.StructType, rows: int = 512)
     return df.mapInArrow(run, kind)
 
 
+def map_arrays(df: DataFrame, fn, schema: str | T.StructType, rows: int = 512) -> DataFrame:
+    """map_columns() with Arrow arrays in and out instead of lists."""
+    ship_package(df.sparkSession)
+    kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    arrow = to_arrow_schema(kind)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                out = fn(*batch.slice(at, rows).columns)
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(out, arrow)], schema=arrow)
+
+    return df.mapInArrow(run, kind)
+
+
 def with_fields(kept: DataFrame, more: str) -> T.StructType:
     """The columns of kept and then those of a DDL text, whatever the names."""
     return T.StructType([*kept.schema.fields, *T.StructType.fromDDL(more).fields])
