@@ -248,7 +248,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             out[2] += c.tolist()
         return out
 
-    counted = map_columns(sample.where("not aside").select("text", "lang"), count, "lang string, gram long, n long", rows=4096)
+    counted = map_columns(sample.where("not aside").select("text", "lang"), count, "lang string, gram long, n long", rows=1024)
     table_ = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()  # n-gram types of a bounded sample
     if not len(table_):
         return None

@@ -6,7 +6,7 @@ table; a text is the mean of its distinct words, each weighted by the square roo
 softmax reads the mean. Table and softmax learn together by Adam on the cross-entropy. A misspelt word that was never seen keeps most of its n-grams,
 and so most of its vector. N-grams in fewer than `least_docs` training texts stay zero.
 
-The fit takes a bounded sample of labelled rows (`toxic_rows`, `clean_rows`, by hash of the id) and runs
+The fit takes a bounded sample of labelled rows (`toxic_rows`, `clean_rows`, by hash of the id, of at most `sample_chars`) and runs
 in one task; the bias is corrected for the sample's share of toxic rows. As the softmax is linear, the
 trained table shrinks to one number for each n-gram, which is all that scoring needs. Every text is
 scored whole.
@@ -33,10 +33,11 @@ EDGE = ".,;:!?\"'()[]{}<>|%&$#*~`^=+-_/\\"
 
 @dataclass(frozen=True)
 class Settings:
-    """Sample bounds and shape of the model."""
+    """Sample bounds (rows by label, and the longest text of the sample, in characters) and shape of the model."""
 
     toxic_rows: int = 3000
     clean_rows: int = 5000
+    sample_chars: int = 20_000
     buckets: int = 1 << 16
     width: int = 8
     shortest: int = 3
@@ -190,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = F.when(toxic, F.lit(settings.toxic_rows / max(1, n["toxic"]))).otherwise(F.lit(settings.clean_rows / max(1, n["n"] - n["toxic"])))
     draw = F.shiftrightunsigned(F.xxhash64("id", F.lit("sample")), 33) / F.lit(float(2**31))
     chosen = one.where(draw < share)  # about toxic_rows + clean_rows rows
-    texts = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    texts = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= settings.sample_chars)
                         .join(F.broadcast(chosen), "id").select("text", "label"), "toxicity-sample")
     prior = n["toxic"] / n["n"]
 
