@@ -254,13 +254,18 @@ def _count_windows(contexts: DataFrame, s: Settings) -> DataFrame:
         return out
 
     rows = contexts.select("hash", "context", "left", "bytes")
-    all_ = materialize(map_columns(rows, classes, "hash long, context long, first int, core long, whole long", rows=512), "window-classes")
-    alive = all_.join(_shared(all_, "core"), F.col("core") == F.col("again")).drop("again")
-    alive = materialize(alive.join(_shared(all_.where("whole is not null"), "whole"), F.col("whole") == F.col("again"), "left").withColumn("done", F.col("again").isNotNull()).drop("again"), "live-classes")
-    done = alive.where("done").select("hash", "context", (F.col("first") + s.step - 1).alias("lo"), (F.lit(s.length) - F.col("first")).alias("hi"))
-    # An open class may share windows with a class that is done: one context stands for all that have the same whole.
-    stand_in = alive.where("done").groupBy("whole").agg(F.min(F.struct("context", "hash", "first")).alias("x")).select("x.hash", "x.context", "x.first")
-    rest = alive.where(~F.col("done")).select("hash", "context", "first").unionByName(stand_in).groupBy("hash", "context").agg(F.collect_list("first").alias("firsts"))  # at most length / step
+    each = materialize(map_columns(rows, classes, "hash long, context long, first int, core long, whole long", rows=512), "window-classes")
+    # Contexts that agree on a class are one row here, so what many of them share is met once and not once for each.
+    kinds = each.groupBy("hash", "first", "core", "whole").agg(F.min("context").alias("c0"), F.max("context").alias("c1"))
+    cores = kinds.groupBy(F.col("core").alias("again")).agg(F.min("c0").alias("k0"), F.max("c1").alias("k1")).where("k0 <> k1").select("again")
+    live = materialize(kinds.join(cores, F.col("core") == F.col("again"), "left_semi"), "live-classes")
+    repeated = live.where("whole is not null and c0 <> c1")
+    done = each.join(repeated.select(F.col("whole").alias("again")), F.col("whole") == F.col("again"), "left_semi").select(
+        "hash", "context", (F.col("first") + s.step - 1).alias("lo"), (F.lit(s.length) - F.col("first")).alias("hi"))
+    # An open class may share windows with a repeated one, for which one context stands; classes cut by a text's end are all open.
+    ends = each.where("whole is null").join(live.where("whole is null").select(F.col("core").alias("again")), F.col("core") == F.col("again"), "left_semi")
+    open_ = live.where("whole is not null").select("hash", F.col("c0").alias("context"), "first").unionByName(ends.select("hash", "context", "first"))
+    rest = open_.groupBy("hash", "context").agg(F.collect_list("first").alias("firsts"))  # at most length / step
     single = materialize(map_columns(rows.join(rest, ["hash", "context"]).select("hash", "context", "left", "bytes", "firsts"), windows, "hash long, context long, back int, window long", rows=512), "windows")
     one = single.join(_shared(single, "window"), F.col("window") == F.col("again")).select("hash", "context", F.col("back").alias("lo"), (F.lit(s.length) - F.col("back")).alias("hi"))
     return done.unionByName(one).groupBy("hash", "context").agg(F.max("lo").cast("int").alias("lo"), F.max("hi").cast("int").alias("hi"))
