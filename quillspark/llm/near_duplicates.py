@@ -25,7 +25,6 @@ by drop_near_duplicates(). An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,12 +35,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillspark.llm.common import LOWER, UPPER, discard, fresh, map_columns, materialize, release_shuffles, table
+from quillspark.llm.common import discard, fresh, map_columns, materialize, release_shuffles, table
 from quillspark.llm.components import connected_components
 from quillspark.shipping import ship_package
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
 SHINGLE = 5
 
 
@@ -67,15 +64,15 @@ class Settings:
         return self.bands * self.band_rows
 
 
-_word_hashes: dict[str, int] = {}
+_word_hashes: dict[bytes, int] = {}
 
 
-def _hash_word(word: str) -> int:
+def _hash_word(word: bytes) -> int:
     h = _word_hashes.get(word)
     if h is None:
         if len(_word_hashes) > 500_000:
             _word_hashes.clear()
-        h = _word_hashes[word] = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little")
+        h = _word_hashes[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
     return h
 
 
@@ -87,7 +84,7 @@ def _scramble(x: np.ndarray) -> np.ndarray:
 
 def shingles(text: str | None) -> np.ndarray:
     """Sorted 64-bit hashes of the distinct shingles of a whole text."""
-    found = WORD.findall(text.translate(ASCII_LOWER)) if text else []
+    found = text.encode().lower().split() if text else []  # bytes know no white space and no letters but ASCII's
     if not found:
         return np.zeros(0, np.uint64)
     get = _word_hashes.get
