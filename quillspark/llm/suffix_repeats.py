@@ -12,8 +12,8 @@ its context.
    the anchor: where that differs, the interval splits into maximal repeats, and each member's longest
    repeat to the left and right is known.
 3. Hashes with more than `block` distinct contexts are not gathered anywhere. Their windows are counted by hash
-   instead, in classes of `step` neighbouring ones: a class whose common core occurs once is done, as is one whose
-   whole stretch occurs again; only the windows of other classes are counted one by one. The spans are the same.
+   instead, in classes of neighbouring ones: a class whose common core occurs once is done, as is one whose
+   whole stretch occurs again; other classes are cut into smaller ones, down to single windows. The spans are the same.
 
 Spans go back to all anchors with that context, and each document drops their union. Documents are keyed by id
 and text, so repeated rows count as repeats of each other. Hashes of 64 bits stand for strings of bytes.
@@ -42,12 +42,12 @@ from quillspark.shipping import ship_package
 @dataclass(frozen=True)
 class Settings:
     """length: of the strings that must not repeat; gram: bytes hashed for anchors; block: most contexts in one tree;
-    step: windows of a class; piece: window starts read at a time."""
+    steps: windows of a class in each round, the last 1, each a multiple of the next; piece: window starts read at a time."""
 
     length: int = 200
     gram: int = 32
     block: int = 8192
-    step: int = 13
+    steps: tuple[int, ...] = (12, 3, 1)
     piece: int = 1 << 19
 
     @property
@@ -217,58 +217,53 @@ def _backs(n: int, size: int, s: Settings) -> range:
     return range(max(0, n + s.length - size), min(n, s.left) + 1)
 
 
-def _shared(rows: DataFrame, key: str) -> DataFrame:
-    """The values of key that occur in several contexts, as column `again`."""
-    return rows.groupBy(F.col(key).alias("again")).agg(F.min("context").alias("c0"), F.max("context").alias("c1")).where("c0 <> c1").select("again")
-
-
 def _count_windows(contexts: DataFrame, s: Settings) -> DataFrame:
-    """hash, context, lo, hi like the trees', by counts of hashes alone; contexts: hash, context, left, bytes."""
-
-    def keyed(h: int, first: np.ndarray, values: np.ndarray) -> list[int]:
-        return _mix(values ^ _mix(np.uint64(h & (2**64 - 1)) + first.astype(np.uint64))).view(np.int64).tolist()
-
-    def classes(hashes: list, contexts_: list, lefts: list, data: list) -> list:
-        out: list[list] = [[] for _ in range(5)]
-        for h, c, n, b in zip(hashes, contexts_, lefts, data):
-            backs = _backs(n, len(b), s)
-            first = np.unique(np.array(backs, np.int64) // s.step) * s.step
-            if not len(first):
-                continue
-            d, last = Hashes(np.frombuffer(b, np.uint8)), first + s.step - 1
-            core = keyed(h, first, d.of(n - first, n + s.length - last))
-            full = (first >= backs.start) & (last < backs.stop)
-            whole = keyed(h, first, d.of(np.maximum(n - last, 0), np.minimum(n + s.length - first, len(b))))
-            for column, x in zip(out, ([h] * len(first), [c] * len(first), first.tolist(), core, [w if f else None for w, f in zip(whole, full)])):
-                column.extend(x)
-        return out
-
-    def windows(hashes: list, contexts_: list, lefts: list, data: list, firsts: list) -> list:
-        out: list[list] = [[] for _ in range(4)]
-        for h, c, n, b, starts in zip(hashes, contexts_, lefts, data, firsts):
-            backs = _backs(n, len(b), s)
-            back = np.array([x for f in starts for x in range(max(f, backs.start), min(f + s.step, backs.stop))], np.int64)
-            w = keyed(h, back, Hashes(np.frombuffer(b, np.uint8)).of(n - back, n - back + s.length))
-            for column, x in zip(out, ([h] * len(back), [c] * len(back), back.tolist(), w)):
-                column.extend(x)
-        return out
+    """hash, context, lo, hi like the trees', by counts of hashes alone; contexts: hash, context, left, bytes.
+
+    Each round takes classes of fewer windows, down to one, of those that the round before left open.
+    """
+
+    def classes(step: int, outer: int):
+        def make(hashes: list, contexts_: list, lefts: list, data: list, opens: list) -> list:
+            out: list[list] = [[] for _ in range(5)]
+            for h, c, n, b, starts in zip(hashes, contexts_, lefts, data, opens):
+                backs = _backs(n, len(b), s)
+                inside = np.array(backs, np.int64)
+                if outer:
+                    inside = inside[np.isin(inside // outer * outer, starts)]
+                first = np.unique(inside // step * step)
+                if not len(first):
+                    continue
+                d, last = Hashes(np.frombuffer(b, np.uint8)), first + step - 1
+                mark = _mix(np.uint64(h & (2**64 - 1)) + first.astype(np.uint64))
+                core = _mix(d.of(n - first, n + s.length - last) ^ mark).view(np.int64)
+                whole = _mix(d.of(np.maximum(n - last, 0), np.minimum(n + s.length - first, len(b))) ^ mark).view(np.int64)
+                full = (first >= backs.start) & (last < backs.stop)
+                for column, x in zip(out, ([h] * len(first), [c] * len(first), first.tolist(), core.tolist(), [w if f else None for w, f in zip(whole.tolist(), full)])):
+                    column.extend(x)
+            return out
+
+        return make
 
     rows = contexts.select("hash", "context", "left", "bytes")
-    each = materialize(map_columns(rows, classes, "hash long, context long, first int, core long, whole long", rows=512), "window-classes")
-    # Contexts that agree on a class are one row here, so what many of them share is met once and not once for each.
-    kinds = each.groupBy("hash", "first", "core", "whole").agg(F.min("context").alias("c0"), F.max("context").alias("c1"))
-    cores = kinds.groupBy(F.col("core").alias("again")).agg(F.min("c0").alias("k0"), F.max("c1").alias("k1")).where("k0 <> k1").select("again")
-    live = materialize(kinds.join(cores, F.col("core") == F.col("again"), "left_semi"), "live-classes")
-    repeated = live.where("whole is not null and c0 <> c1")
-    done = each.join(repeated.select(F.col("whole").alias("again")), F.col("whole") == F.col("again"), "left_semi").select(
-        "hash", "context", (F.col("first") + s.step - 1).alias("lo"), (F.lit(s.length) - F.col("first")).alias("hi"))
-    # An open class may share windows with a repeated one, for which one context stands; classes cut by a text's end are all open.
-    ends = each.where("whole is null").join(live.where("whole is null").select(F.col("core").alias("again")), F.col("core") == F.col("again"), "left_semi")
-    open_ = live.where("whole is not null").select("hash", F.col("c0").alias("context"), "first").unionByName(ends.select("hash", "context", "first"))
-    rest = open_.groupBy("hash", "context").agg(F.collect_list("first").alias("firsts"))  # at most length / step
-    single = materialize(map_columns(rows.join(rest, ["hash", "context"]).select("hash", "context", "left", "bytes", "firsts"), windows, "hash long, context long, back int, window long", rows=512), "windows")
-    one = single.join(_shared(single, "window"), F.col("window") == F.col("again")).select("hash", "context", F.col("back").alias("lo"), (F.lit(s.length) - F.col("back")).alias("hi"))
-    return done.unionByName(one).groupBy("hash", "context").agg(F.max("lo").cast("int").alias("lo"), F.max("hi").cast("int").alias("hi"))
+    asked, outer, found = rows.withColumn("opens", F.array().cast("array<int>")), 0, None
+    for step in s.steps:
+        each = materialize(map_columns(asked, classes(step, outer), "hash long, context long, first int, core long, whole long", rows=512), "window-classes")
+        # Contexts that agree on a class are one row here, so what many of them share is met once and not once for each.
+        kinds = each.groupBy("hash", "first", "core", "whole").agg(F.min("context").alias("c0"), F.max("context").alias("c1"))
+        cores = kinds.groupBy(F.col("core").alias("again")).agg(F.min("c0").alias("k0"), F.max("c1").alias("k1")).where("k0 <> k1").select("again")
+        live = materialize(kinds.join(cores, F.col("core") == F.col("again"), "left_semi"), "live-classes")
+        repeated = live.where("whole is not null and c0 <> c1")
+        done = each.join(repeated.select(F.col("whole").alias("again")), F.col("whole") == F.col("again"), "left_semi").groupBy("hash", "context").agg(
+            (F.max("first") + step - 1).cast("int").alias("lo"), (F.lit(s.length) - F.min("first")).cast("int").alias("hi"))
+        found = done if found is None else found.unionByName(done)
+        if step > 1:
+            # An open class may share windows with a repeated one, for which one context stands; classes cut by a text's end are all open.
+            ends = each.where("whole is null").join(live.where("whole is null").select(F.col("core").alias("again")), F.col("core") == F.col("again"), "left_semi")
+            still = live.where("whole is not null").select("hash", F.col("c0").alias("context"), "first").unionByName(ends.select("hash", "context", "first"))
+            opens = still.groupBy("hash", "context").agg(F.collect_set("first").alias("opens"))  # at most length / step
+            asked, outer = rows.join(opens, ["hash", "context"]).select("hash", "context", "left", "bytes", "opens"), step
+    return found.groupBy("hash", "context").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
