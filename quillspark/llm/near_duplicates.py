@@ -11,10 +11,12 @@ the likelier, the more alike two sets are. Bands of registers put likely pairs i
 2. Clusters that still hold several components are searched in blocks of bounded size. In a block, each class
    outside the largest component meets all classes of other components, by registers and then by whole
    sets, and only links that join components leave it.
+3. Buckets whose classes, but for the least, are in several clusters are searched too: in blocks, each class outside the bucket's
+   largest cluster meets all classes of other clusters there by registers, and the likely pairs are compared set with set.
 
-So a group of many copies costs about one pair for each of them, and no link is lost to a cap. With the default
-bands a pair of similarity 0.85 shares no bucket with a probability of about 6e-9, one of 0.8 with 3e-6. Such pairs share 16 or 11
-buckets on average, and are in one cluster unless in each of them one of the two is far from the least class.
+So every pair that shares a bucket is compared, or both are in one component already. A group of many copies costs about one
+pair for each of them, and no link is lost to a cap. With the default bands a pair of similarity 0.85 shares no bucket with a
+probability of about 6e-9, one of 0.8 with 3e-6.
 
 Edge cases: a text of fewer than five words is one shingle, a null text or one without words has an
 empty set and is linked with nothing; rows of one id are one node, whatever their texts; a row with a null
@@ -264,6 +266,66 @@ def _search_blocks(rows: DataFrame, kind: str, s: Settings) -> DataFrame:
     return rows.select("cluster", "left", "right", "half", "node", "component", "registers", "members").mapInArrow(run, schema)
 
 
+def _mixed_buckets(members: DataFrame, clusters: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
+    """Rows (key, o, m, far, node, cluster, n_shingles, registers) of the buckets whose classes, but for the least, are in several
+    clusters, sorted by the first three within partitions. far: not in the bucket's largest cluster. In the unit (o, m)
+    of a bucket, the far rows of block o meet all rows of block m."""
+    others = members.where("n > 2 and node > least").select("key", "node").join(clusters, F.col("node") == F.col("in"), "left").select("key", "node", F.coalesce("cluster", "node").alias("cluster"))
+    parts = others.groupBy("key", "cluster").agg(F.count(F.lit(1)).alias("k"))
+    mixed = parts.groupBy(F.col("key").alias("bucket")).agg(F.sum("k").alias("all"), F.max(F.struct("k", "cluster")).alias("most"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select(
+        "bucket", F.col("most.cluster").alias("largest"), F.ceil((F.col("all") - F.col("most.k")) / s.block).cast("int").alias("o_blocks"), F.ceil(F.col("all") / s.block).cast("int").alias("m_blocks"))
+    rows = others.join(mixed, F.col("key") == F.col("bucket")).withColumn("h", F.xxhash64("node"))
+    steps = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    mine = lambda n: F.pmod("h", F.col(n)).cast("int")
+    every = rows.select("key", "node", "cluster", F.explode(steps("o_blocks")).alias("o"), mine("m_blocks").alias("m"), F.lit(False).alias("far"))
+    far = rows.where("cluster <> largest").select("key", "node", "cluster", mine("o_blocks").alias("o"), F.explode(steps("m_blocks")).alias("m"), F.lit(True).alias("far"))
+    held = materialize(every.unionByName(far), "mixed-buckets")
+    known = sets.select(F.col("node").alias("of"), "n_shingles", "registers")
+    return held.join(known, F.col("node") == F.col("of")).select("key", "o", "m", "far", "node", "cluster", "n_shingles", "registers").repartition("key", "o", "m").sortWithinPartitions("key", "o", "m")
+
+
+def _search_buckets(rows: DataFrame, kind: str, s: Settings) -> DataFrame:
+    """a, b (a < b) of the pairs in _mixed_buckets() that are of different clusters and likely alike; a pair may come several times."""
+    sketcher, cut = SetSketch(s), s.percent / 100 - s.slack
+    schema = T.StructType.fromDDL(f"a {kind}, b {kind}")
+    arrow = to_arrow_schema(schema)
+
+    def pairs(unit: list[tuple]) -> Iterator[tuple]:
+        far, node, clusters, size, registers = zip(*unit)
+        label = {c: i for i, c in enumerate(dict.fromkeys(clusters))}
+        cluster, size, far = np.array([label[c] for c in clusters]), np.array(size), np.array(far)
+        registers = np.stack([np.frombuffer(r, np.uint16) for r in registers])
+        for i in np.flatnonzero(far):
+            at = np.flatnonzero(~far & (cluster != cluster[i]) & (np.minimum(size, size[i]) * 100 >= np.maximum(size, size[i]) * s.percent))
+            at = at[(registers[at] == registers[i]).mean(1) >= cut - 0.03] if len(at) else at
+            if len(at):
+                guess = sketcher.compare(np.broadcast_to(registers[i], (len(at), s.registers)), registers[at], np.full(len(at), float(size[i])), size[at].astype(float))
+                for j in at[guess >= cut]:
+                    yield min(node[i], node[j]), max(node[i], node[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, now = [], None
+
+        def close() -> Iterator[pa.RecordBatch]:
+            found = list(pairs(unit)) if len(unit) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), arrow)], schema=arrow)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                for key, o, m, *row in zip(*[c.to_pylist() for c in batch.slice(at, 256).columns]):
+                    if (key, o, m) != now:
+                        if unit:
+                            yield from close()
+                        unit, now = [], (key, o, m)
+                    unit.append(tuple(row))
+        if unit:
+            yield from close()
+
+    ship_package(rows.sparkSession)
+    return rows.mapInArrow(run, schema)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id reachable) and kept (whether it is the row's own) for each row."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -288,7 +350,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sets = materialize(map_columns(held, with_sets, f"node {kind}, n_shingles long, registers binary, members binary"), "sets")
 
     first = materialize(_compare_pairs(pairs, sets, s), "links")
-    discard(members, pairs)
+    discard(pairs)
     release_shuffles(docs.sparkSession)
     labels = connected_components(first.where("linked"))
     clusters = connected_components(first).select(F.col("node").alias("in"), F.col("component").alias("cluster"))
@@ -304,8 +366,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
     spread = rows.repartition("cluster", "left", "right").sortWithinPartitions("cluster", "left", "right")
     second = materialize(_search_blocks(spread, kind, s), "links")
-    discard(sets)
-    labels = connected_components(first.where("linked").unionByName(second)) if not second.isEmpty() else labels
+    release_shuffles(docs.sparkSession)
+    likely = materialize(_search_buckets(_mixed_buckets(members, clusters, sets, s), kind, s).distinct(), "likely-pairs")
+    third = materialize(_compare_pairs(likely, sets, s).where("linked"), "links")
+    discard(members, sets)
+    more = second.unionByName(third)
+    labels = connected_components(first.where("linked").unionByName(more)) if not more.isEmpty() else labels
 
     of_class = classes.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select(
         F.col("set_a").alias("ca"), F.col("set_b").alias("cb"), F.coalesce("component", "node").alias("component"))

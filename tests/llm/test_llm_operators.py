@@ -229,6 +229,20 @@ def test_near_duplicates(spark, docs, rows, block):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got if r["doc_id"] is not None)
 
 
+def test_classes_meet_where_the_least_of_each_bucket_is_a_stranger(spark):
+    rng = random.Random(8)
+    a = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    strangers = []
+    for _ in range(80):  # each shares another third of a, and all have lower ids
+        at = rng.randrange(300)
+        strangers.append((a + a)[at:at + 100] + [f"e{rng.randint(0, 10**9)}" for _ in range(100)])
+    b = a[:290] + [f"e{rng.randint(0, 10**9)}" for _ in range(10)]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate([*strangers, a, b])], "doc_id long, text string")
+    for block in (1024, 16):
+        got = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(df, s=near_duplicates.Settings(bands=252, band_rows=1, percent=85, block=block)).collect()}
+        assert got == {**{i: i for i in range(81)}, 81: 80}
+
+
 def test_sketches_merge_and_estimate():
     s = near_duplicates.Settings()
     sketcher = near_duplicates.SetSketch(s)
