@@ -4,7 +4,8 @@ A word is the sum of the vectors of its character n-grams and of the word itself
 table; a text is the mean of its distinct words, each weighted by the square root of its count, and of
 `padding` neutral words, so that one word or a word repeated all over is little evidence; a linear
 softmax reads the mean. Table and softmax learn together by Adam on the cross-entropy. A misspelt word that was never seen keeps most of its n-grams,
-and so most of its vector. N-grams in fewer than `least_docs` training texts stay zero.
+and so most of its vector. N-grams in fewer than `least_docs` training texts stay zero. Words of more than `piece` characters, as in texts without
+spaces, count as overlapping pieces, each a word of its own.
 
 The fit takes a bounded sample of labelled rows (`toxic_rows`, `clean_rows`, by hash of the id, of at most `sample_chars`) and runs
 in one task; the bias is corrected for the sample's share of toxic rows. As the softmax is linear, the
@@ -33,7 +34,8 @@ EDGE = ".,;:!?\"'()[]{}<>|%&$#*~`^=+-_/\\"
 
 @dataclass(frozen=True)
 class Settings:
-    """Sample bounds (rows by label, and the longest text of the sample, in characters) and shape of the model."""
+    """Sample bounds (rows by label, and the longest text of the sample, in characters) and shape of the model; piece: longer words count
+    as pieces of so many characters."""
 
     toxic_rows: int = 3000
     clean_rows: int = 5000
@@ -42,6 +44,7 @@ class Settings:
     width: int = 8
     shortest: int = 3
     longest: int = 5
+    piece: int = 64
     least_docs: int = 4
     padding: float = 12.0
     epochs: int = 12
@@ -52,16 +55,24 @@ class Settings:
     seed: int = 5
 
 
-def words(text: str | None) -> list[str]:
-    """Lower-case words without the punctuation at their edges."""
-    return [w for w in (x.strip(EDGE) for x in (text or "").lower().split()) if w]
+def pieces(word: str, s: Settings) -> list[str]:
+    """A word of more than `piece` characters as pieces of so many, each sharing longest - 1 with the next, so that no n-gram is lost."""
+    if len(word) <= s.piece:
+        return [word]
+    step = s.piece - s.longest + 1
+    return [word[i:i + s.piece] for i in range(0, len(word) - s.longest + 1, step)]
+
+
+def words(text: str | None, s: Settings) -> list[str]:
+    """Lower-case words without the punctuation at their edges, long ones in pieces."""
+    return [p for w in (x.strip(EDGE) for x in (text or "").lower().split()) if w for p in pieces(w, s)]
 
 
 def word_grams(word: str, s: Settings) -> list[int]:
     """Table rows of the word and of its n-grams."""
-    data = f"<{word[:64]}>" if len(word) > 64 else f"<{word}>"
-    pieces = {data} | {data[i:i + n] for n in range(s.shortest, s.longest + 1) for i in range(len(data) - n + 1)}
-    return sorted({zlib.crc32(p.encode("utf-8", "replace")) % s.buckets for p in pieces})
+    data = f"<{word}>"
+    grams = {data} | {data[i:i + n] for n in range(s.shortest, s.longest + 1) for i in range(len(data) - n + 1)}
+    return sorted({zlib.crc32(g.encode("utf-8", "replace")) % s.buckets for g in grams})
 
 
 def bag(ws: list[str], s: Settings) -> tuple[list[str], list[float]]:
@@ -90,7 +101,7 @@ class Model:
         return w
 
     def score(self, text: str | None) -> float:
-        distinct, shares = bag(words(text), self.settings)
+        distinct, shares = bag(words(text, self.settings), self.settings)
         odds = self.bias + sum(self.word(w) * x for w, x in zip(distinct, shares))
         return float(1 / (1 + np.exp(-np.clip(odds, -40, 40))))
 
@@ -113,7 +124,7 @@ def fit(texts: list[str], labels: list[float], s: Settings, prior: float) -> Mod
     seen: dict[str, list[float]] = {}
     for t, y in zip(texts, labels):
         seen.setdefault(t, []).append(y)
-    bags = [(bag(words(t), s), float(np.mean(ys))) for t, ys in sorted(seen.items())]
+    bags = [(bag(words(t, s), s), float(np.mean(ys))) for t, ys in sorted(seen.items())]
     bags = [(b, y) for b, y in bags if b[0]]
     if not bags:
         return Model(s, np.zeros(s.buckets, np.float32), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))

@@ -410,6 +410,18 @@ def test_toxicity(spark, empty):
     assert toxicity.score(docs.limit(1), None, ["doc_id"]).first()["score"] == 0.0 and toxicity.score(empty, model, ["doc_id"]).count() == 0
 
 
+def test_toxicity_reads_the_whole_of_a_long_word():
+    s = toxicity.Settings()
+    word = "".join(chr(0x4E00 + i) for i in range(500))
+    for n in (63, 64, 65, 124, 125, 500):
+        parts = toxicity.words(word[:n], s)
+        assert all(any(word[i:i + s.longest] in p for p in parts) for i in range(n - s.longest + 1)) and max(map(len, parts)) <= 64
+    weight = np.zeros(s.buckets, np.float32)
+    weight[toxicity.word_grams("idiotic", s)] = 5
+    model = toxicity.Model(s, weight, -2.0)
+    assert model.score("x" * 100 + ".idiotic") > model.score("x" * 108)
+
+
 # 10 language model
 
 
