@@ -1,9 +1,10 @@
 """Secret scan: fixed patterns, and zstandard novelty primed with an identifier dictionary.
 
 The base patterns find assignments, access keys and long hex strings. The method adds `novel` spans:
-every long token that stands near a sensitive word is compressed behind its surroundings, by a
-compressor whose dictionary holds common identifiers; the bytes that the token adds tell how much of
-it neither the surroundings nor the dictionary explain. A token whose bytes hardly compress is a span.
+every long token with a sensitive word in the text on either side is compressed behind its surroundings,
+by a compressor whose dictionary holds common identifiers; the bytes that the token adds tell how much of
+it neither the surroundings nor the dictionary explain. A token whose bytes hardly compress is a span; one
+that does not mix letters and digits, as most identifiers, has to compress even less.
 
 Edge cases: a null or empty text has no spans; texts are scanned whole, each by itself, so repeated
 rows give repeated results; other columns of the input are not read.
@@ -47,13 +48,19 @@ IDENTIFIERS = (
 
 @dataclass(frozen=True)
 class Limits:
-    """around: characters of surroundings on either side; near: characters before a token searched for a
-    sensitive word; share: least added bytes for each byte of the token; least: least added bytes."""
+    """around: characters of surroundings on either side, searched for a sensitive word too; share: least added bytes for
+    each byte of a token of letters and digits; plain_share: the same for other tokens; least: least added
+    bytes; enough: added bytes that do at any length."""
 
     around: int = 160
-    near: int = 48
     share: float = 0.55
+    plain_share: float = 0.85
     least: int = 11
+    enough: int = 48
+
+    def bar(self, token: str) -> float:
+        """Added bytes that make a token a span."""
+        return max(self.least, min(self.enough, (self.share if _mixed(token) else self.plain_share) * len(token)))
 
 
 @lru_cache(maxsize=1)
@@ -87,9 +94,10 @@ def scan(text: str | None, limits: Limits = Limits()) -> list[tuple[int, int, in
         if "AKIA" in token:
             found += [(at + m.start(), 1, at + m.end(), -1) for m in ACCESS.finditer(token) if m.end() - m.start() >= 20]
         found += [(at + m.start(), 2, at + m.end(), -1) for m in HEX.finditer(token)]
-        if _mixed(token) and SENSITIVE.search(text, max(0, at - limits.near), at):
-            added = novelty(text[max(0, at - limits.around):at], token, text[run.end():run.end() + limits.around])
-            if added >= max(limits.least, limits.share * len(token)):
+        left, right = max(0, at - limits.around), run.end() + limits.around
+        if SENSITIVE.search(text, left, at) or SENSITIVE.search(text, run.end(), right):
+            added = novelty(text[left:at], token, text[run.end():right])
+            if added >= limits.bar(token):
                 found.append((at, 3, run.end(), added))
     return sorted(found)
 

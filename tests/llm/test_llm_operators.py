@@ -151,6 +151,18 @@ def test_novelty(docs):
     assert {r["kind"] for r in found} >= {"assign", "access", "hex"} and all(r["secret"] for r in found)
 
 
+def test_novelty_of_keys_with_few_digits_and_of_words_behind_or_far():
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for alphabet in (letters, letters + "0123456789+/"):
+        for n in (16, 20, 24, 32, 64):
+            for _ in range(20):
+                key = "".join(rng.choice(alphabet) for _ in range(n))
+                for text in (f"auth {key} end", f"use {key} # api key", f"auth {'x ' * 50}{key} end"):
+                    assert "novel" in [secrets.KINDS[k] for _, k, _, _ in secrets.scan(text)]
+    assert secrets.scan("auth header client_secret_configuration end") == []
+
+
 # 4 fingerprints
 
 
