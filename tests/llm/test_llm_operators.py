@@ -473,6 +473,11 @@ def test_predictions_sum_to_one_and_follow_context(spark):
     assert all(r["score"] > r["base_score"] for r in scored.collect()) and pitman_yor.perplexity(scored).first()["perplexity"] < 4
 
 
+def test_three_samples_of_four_sweeps_are_averaged(spark):
+    docs = spark.createDataFrame([(1, "a b a")], "doc_id int, text string")
+    assert pitman_yor.Settings().sweeps == 4 and len(pitman_yor.train(docs, F.lit(True)).backs) == 3
+
+
 def test_seating_stays_in_bounds():
     rng = np.random.default_rng(1)
     c = np.array([0, 1, 2, 10, 1000, 100_000])
