@@ -19,9 +19,10 @@ pair for each of them, and no link is lost to a cap. With the default bands a pa
 probability of about 6e-9, one of 0.8 with 3e-6.
 
 Edge cases: a text of fewer than five words is one shingle, a null text or one without words has an
-empty set and is linked with nothing; rows of one id are one node, whatever their texts; a row with a null
-id is in its class's component, and kept where the class has no id; other columns are not read, or carried
-by drop_near_duplicates(). An empty table gives an empty result.
+empty set and is linked with nothing; rows of one id are one node, whatever their texts; rows that repeat id and
+text are sketched each but compared once; a row with a null id is in its class's component, and kept where the class
+has no id; ties go to the least id; very long texts are read whole, one at a time beside a slice of rows; other columns are
+not read, or carried by drop_near_duplicates(), whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -160,21 +161,26 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
+def spot_of(text_col: str) -> Column:
+    """A hash of a row's text; with the id it tells rows apart that aren't repeats of one another."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("spot")
+
+
 def sketch_documents(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> DataFrame:
-    """doc_id, n_shingles, set_a and set_b (a 128-bit hash of the set), registers and keys (its bands) for each row."""
+    """doc_id, spot (a hash of the text), n_shingles, set_a and set_b (a 128-bit hash of the set), registers and keys (its bands) for each row."""
     kind = docs.schema[id_col].dataType.simpleString()
     sketcher = SetSketch(s)
 
-    def sketch(ids: list, texts: list) -> list:
+    def sketch(ids: list, texts: list, spots: list) -> list:
         sets = [shingles(t) for t in texts]
         marks = [np.frombuffer(hashlib.blake2b(x.tobytes(), digest_size=16).digest(), np.int64) for x in sets]
         registers = np.stack([sketcher.registers(x) for x in sets])
         keys = sketcher.band_keys(registers).tolist()
-        return [ids, [len(x) for x in sets], [int(m[0]) for m in marks], [int(m[1]) for m in marks],
+        return [ids, spots, [len(x) for x in sets], [int(m[0]) for m in marks], [int(m[1]) for m in marks],
                 [r.tobytes() for r in registers], [k if len(x) else [] for k, x in zip(keys, sets)]]
 
-    return map_columns(docs.select(id_col, text_col), sketch,
-                       f"doc_id {kind}, n_shingles long, set_a long, set_b long, registers binary, keys array<long>")
+    return map_columns(docs.select(id_col, text_col, spot_of(text_col)), sketch,
+                       f"doc_id {kind}, spot long, n_shingles long, set_a long, set_b long, registers binary, keys array<long>")
 
 
 def _compare_pairs(pairs: DataFrame, sets: DataFrame, s: Settings) -> DataFrame:
@@ -327,26 +333,28 @@ def _search_buckets(rows: DataFrame, kind: str, s: Settings) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """doc_id, n_shingles, component_id (the least id reachable) and kept (whether it is the row's own) for each row."""
+    """doc_id, n_shingles, component_id (the least id reachable), kept (whether it is the row's own) and spot (a hash of its text) for each row."""
     kind = docs.schema[id_col].dataType.simpleString()
     sketches = materialize(sketch_documents(docs, id_col, text_col, s), "sketches")
-    classes = materialize(sketches.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node")).where("node is not null"), "classes")
-    # A class's sketch is that of its row with the least id; rows that repeat both id and set are one.
-    chosen = sketches.join(classes.withColumnRenamed("set_a", "ca").withColumnRenamed("set_b", "cb"),
-                           (F.col("doc_id") == F.col("node")) & (F.col("set_a") == F.col("ca")) & (F.col("set_b") == F.col("cb")))
-    one = materialize(chosen.select("node", "set_a", "set_b", "n_shingles", "registers", "keys").dropDuplicates(["node", "set_a", "set_b"]), "class-sketches")
+    with_id = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "spot"))
+    classes = sketches.where("n_shingles > 0").groupBy("set_a", "set_b").agg(F.min(with_id).alias("row")).where("row is not null")
+    classes = materialize(classes.select("set_a", "set_b", F.col("row.doc_id").alias("node"), F.col("row.spot").alias("mark")), "classes")
+    # A class's sketch is that of its row with the least id; rows that repeat both id and text are one.
+    chosen = sketches.join(classes.withColumnsRenamed({"set_a": "ca", "set_b": "cb"}),
+                           (F.col("doc_id") == F.col("node")) & (F.col("spot") == F.col("mark")) & (F.col("set_a") == F.col("ca")) & (F.col("set_b") == F.col("cb")))
+    one = materialize(chosen.select("node", "mark", "n_shingles", "registers", "keys").dropDuplicates(["node", "mark"]), "class-sketches")
     banded = one.select("node", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("last"), F.count(F.lit(1)).alias("n")).where("least < last")
     members = materialize(banded.join(buckets.drop("last"), "key"), "bucket-members")
     pairs = materialize(members.where("node > least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "star-pairs")
     wanted = members.select(F.col("node").alias("want")).distinct()
 
-    def with_sets(nodes: list, a: list, b: list, n: list, registers: list, texts: list) -> list:
+    def with_sets(nodes: list, n: list, registers: list, texts: list) -> list:
         return [nodes, n, registers, [shingles(t).tobytes() for t in texts]]
 
-    here = one.join(wanted, one["node"] == wanted["want"]).select("node", "set_a", "set_b", "n_shingles", "registers")
-    text = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text")).where("text is not null")
-    held = here.join(text, here["node"] == text["text_id"]).select("node", "set_a", "set_b", "n_shingles", "registers", "text")
+    here = one.join(wanted, one["node"] == wanted["want"]).select("node", "mark", "n_shingles", "registers")
+    text = docs.select(F.col(id_col).alias("text_id"), F.col(text_col).alias("text"), spot_of(text_col)).where("text is not null").dropDuplicates(["text_id", "spot"])
+    held = here.join(text, (here["node"] == text["text_id"]) & (here["mark"] == text["spot"])).select("node", "n_shingles", "registers", "text")
     sets = materialize(map_columns(held, with_sets, f"node {kind}, n_shingles long, registers binary, members binary"), "sets")
 
     first = materialize(_compare_pairs(pairs, sets, s), "links")
@@ -377,16 +385,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.col("set_a").alias("ca"), F.col("set_b").alias("cb"), F.coalesce("component", "node").alias("component"))
     mine_ = sketches.join(of_class, (F.col("set_a") == F.col("ca")) & (F.col("set_b") == F.col("cb")) & (F.col("n_shingles") > 0), "left")
     component = F.coalesce(F.col("component"), F.col("doc_id"))
-    return mine_.select(F.col("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
+    return mine_.select(F.col("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "spot")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """The rows of docs, all columns kept, whose id is the least of its component; of rows with one id and text one stays."""
-    gone_id, = fresh(docs, "_gone")
-    gone = near_duplicates(docs, id_col, text_col, s).where("not kept").select(F.col("doc_id").alias(gone_id)).distinct()
-    return docs.join(gone, docs[id_col] == F.col(gone_id), "left_anti").dropDuplicates([id_col, text_col])
+    """The rows of docs, all columns kept, whose id is the least of its component; of rows with one id and text one stays.
+
+    Rows go by id and text, so a copy with a null id goes, and a unique text stays though its id is that of a copy too.
+    """
+    gone_id, gone_spot = fresh(docs, "_gone_id", "_gone_spot")
+    gone = materialize(near_duplicates(docs, id_col, text_col, s).where("not kept").select(F.col("doc_id").alias(gone_id), F.col("spot").alias(gone_spot)).distinct(), "copies")
+    same = docs[id_col].eqNullSafe(F.col(gone_id)) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col(gone_spot))
+    return docs.join(gone, same, "left_anti").dropDuplicates([id_col, text_col])
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents, at a similarity of 0.85."""
-    return near_duplicates(table(spark, sf_dir, "documents"), s=Settings(percent=85))
+    return near_duplicates(table(spark, sf_dir, "documents"), s=Settings(percent=85)).drop("spot")
