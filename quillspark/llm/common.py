@@ -57,6 +57,12 @@ def fresh(df: DataFrame | Iterable[str], *names: str) -> list[str]:
     return out
 
 
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without its columns of these names, compared without case."""
+    lower = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in lower])
+
+
 def map_columns(df: DataFrame, fn, schema: str | T.StructType, rows: int = 512) -> DataFrame:
     """Apply fn to lists of the columns of df, `rows` rows at a time; fn returns a list for each column of schema.
 

@@ -7,39 +7,40 @@ softmax reads the mean. Table and softmax learn together by Adam on the cross-en
 and so most of its vector. N-grams in fewer than `least_docs` training texts stay zero. Words of more than `piece` characters, as in texts without
 spaces, count as overlapping pieces, each a word of its own.
 
-The fit takes a bounded sample of labelled rows (`toxic_rows`, `clean_rows`, by hash of the id, of at most `sample_chars`) and runs
-in one task; the bias is corrected for the sample's share of toxic rows. As the softmax is linear, the
+A text enters the fit as the share of each n-gram in its mean, at most `buckets` numbers, whatever its length; these are made where the texts
+are. The fit takes a bounded sample of distinct labelled texts (`toxic_rows`, `clean_rows`, by hash of the text) and runs
+in one task; the bias is the share of toxic texts, in the fit the sample's and then that of all. As the softmax is linear, the
 trained table shrinks to one number for each n-gram, which is all that scoring needs. Every text is
-scored whole.
+scored whole, a slice of rows at a time in arrays.
 
-Edge cases: null and empty texts get the score of no evidence, the prior; rows with a null label teach
-nothing; an id with several labels takes their mean; with no usable label every score is 0; repeated rows
-give repeated results; columns other than id and text (and the label's) are not read.
+Edge cases: null and empty texts get the score of no evidence, the prior; rows with a null label or id teach
+nothing; an id with several labels takes their mean, and so does a text with several rows; with no usable label, or an empty
+table, every score is 0; repeated rows give repeated results and teach as one; a tie at 0.5 is predicted toxic; columns other than
+id and text (and the label's) are not read, and one of keep that is named like an added column is replaced.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold, map_columns, materialize, table, with_fields
+from quillspark.llm.common import discard, fold, fresh, map_columns, materialize, table, with_fields, without
 
 EDGE = ".,;:!?\"'()[]{}<>|%&$#*~`^=+-_/\\"
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Sample bounds (rows by label, and the longest text of the sample, in characters) and shape of the model; piece: longer words count
-    as pieces of so many characters."""
+    """Sample bounds (about how many distinct texts by label) and shape of the model; piece: longer words count as pieces of so many characters;
+    room: words that a worker remembers."""
 
     toxic_rows: int = 3000
     clean_rows: int = 5000
-    sample_chars: int = 20_000
     buckets: int = 1 << 16
     width: int = 8
     shortest: int = 3
@@ -53,6 +54,7 @@ class Settings:
     decay: float = 1e-4
     gain: float = 10.0
     seed: int = 5
+    room: int = 400_000
 
 
 def pieces(word: str, s: Settings) -> list[str]:
@@ -68,18 +70,89 @@ def words(text: str | None, s: Settings) -> list[str]:
     return [p for w in (x.strip(EDGE) for x in (text or "").lower().split()) if w for p in pieces(w, s)]
 
 
-def word_grams(word: str, s: Settings) -> list[int]:
-    """Table rows of the word and of its n-grams."""
-    data = f"<{word}>"
-    grams = {data} | {data[i:i + n] for n in range(s.shortest, s.longest + 1) for i in range(len(data) - n + 1)}
-    return sorted({zlib.crc32(g.encode("utf-8", "replace")) % s.buckets for g in grams})
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def gram_table(ws: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct table rows of each word and its n-grams, one word after the other, and the number of each word's."""
+    if not ws:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    codes = np.frombuffer("".join([f"<{w}>" for w in ws]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in ws])
+    owner = np.repeat(np.arange(len(ws)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    place = (np.arange(len(codes)) - np.repeat(starts, sizes)).astype(np.uint64)
+    found, of = [np.add.reduceat(_mix(codes * np.uint64(0x9E3779B1) + place), starts)], [np.arange(len(ws))]
+    for n in range(s.shortest, s.longest + 1):
+        if len(codes) >= n:
+            h = np.full(len(codes) - n + 1, n, np.uint64)
+            for k in range(n):
+                h = _mix(h ^ codes[k:len(codes) - n + 1 + k])
+            whole = owner[:len(h)] == owner[n - 1:]
+            found.append(h[whole])
+            of.append(owner[:len(h)][whole])
+    row = (_mix(np.concatenate(found)) % np.uint64(s.buckets)).astype(np.int64)
+    both = np.unique(np.concatenate(of) * s.buckets + row)
+    return both % s.buckets, np.bincount(both // s.buckets, minlength=len(ws))
 
 
-def bag(ws: list[str], s: Settings) -> tuple[list[str], list[float]]:
-    """Distinct words and the share of each in the mean."""
-    roots = {w: n**0.5 for w, n in Counter(ws).items()}
-    whole = sum(roots.values()) + s.padding
-    return list(roots), [x / whole for x in roots.values()]
+def _take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen rows of a ragged array, and how long each is."""
+    n = lengths[which]
+    ends = np.cumsum(n)
+    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - n), n)], n
+
+
+class Lexicon:
+    """Numbers for the words of texts; a raw token is stripped and cut into pieces once."""
+
+    def __init__(self, s: Settings):
+        self.s, self.known = s, 0
+        self.of: dict[str, int] = {}  # raw token to its word's number, -1 for none, or -2 - k for the k-th list of several
+        self.several: list[list[int]] = []
+        self.number: dict[str, int] = {}
+
+    def _add(self, token: str) -> int:
+        parts = words(token, self.s)
+        numbers = [self.number.setdefault(p, len(self.number)) for p in parts]
+        if len(numbers) > 1:
+            self.several.append(numbers)
+        at = self.of[token] = numbers[0] if len(numbers) == 1 else -1 if not numbers else -1 - len(self.several)
+        return at
+
+    def bags(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each distinct word of each text: index of the text, number of the word, its share in the mean."""
+        if len(self.number) > self.s.room:
+            self.__init__(self.s)
+        get, add = self.of.get, self._add
+        ids: list[int] = []
+        lengths = []
+        for text in texts:
+            before = len(ids)
+            for token in (text or "").lower().split():
+                at = get(token)
+                ids.append(add(token) if at is None else at)
+            lengths.append(len(ids) - before)
+        word, owner = np.array(ids, np.int64), np.repeat(np.arange(len(texts)), lengths)
+        long = np.flatnonzero(word < -1)
+        if len(long):
+            lists = [self.several[-2 - word[i]] for i in long]
+            word = np.concatenate([word, *lists])
+            owner = np.concatenate([owner, np.repeat(owner[long], [len(x) for x in lists])])
+        word, owner = word[word >= 0], owner[word >= 0]
+        both, count = np.unique(owner * max(1, len(self.number)) + word, return_counts=True)
+        owner, word = both // max(1, len(self.number)), both % max(1, len(self.number))
+        root = np.sqrt(count)
+        return owner, word, root / (np.bincount(owner, root, len(texts)) + self.s.padding)[owner]
+
+    def new_words(self) -> list[str]:
+        """The words numbered since the last call, in order."""
+        out = list(self.number)[self.known:] if len(self.number) > self.known else []
+        self.known = len(self.number)
+        return out
 
 
 @dataclass
@@ -89,95 +162,79 @@ class Model:
     settings: Settings
     weight: np.ndarray
     bias: float
-    known: dict[str, float] = field(default_factory=dict)
-    room: int = 400_000
-
-    def word(self, word: str) -> float:
-        w = self.known.get(word)
-        if w is None:
-            if len(self.known) >= self.room:
-                self.known.clear()
-            w = self.known[word] = float(self.weight[word_grams(word, self.settings)].sum())
-        return w
+    lexicon: Lexicon | None = field(default=None, compare=False)
+    by_word: np.ndarray | None = field(default=None, compare=False)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if self.lexicon is None:
+            self.lexicon = Lexicon(self.settings)
+        owner, word, share = self.lexicon.bags(texts)
+        if not self.lexicon.known:  # new, or emptied
+            self.by_word = np.zeros(0)
+        if fresh_words := self.lexicon.new_words():
+            rows, n = gram_table(fresh_words, self.settings)
+            self.by_word = np.concatenate([self.by_word, np.bincount(np.repeat(np.arange(len(n)), n), self.weight[rows].astype(float), len(n))])
+        odds = self.bias + np.bincount(owner, self.by_word[word] * share, len(texts))
+        return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
     def score(self, text: str | None) -> float:
-        distinct, shares = bag(words(text, self.settings), self.settings)
-        odds = self.bias + sum(self.word(w) * x for w, x in zip(distinct, shares))
-        return float(1 / (1 + np.exp(-np.clip(odds, -40, 40))))
-
-
-def _ragged(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    ends = np.cumsum([len(r) for r in rows])
-    return np.fromiter((x for r in rows for x in r), np.int64, int(ends[-1])), np.r_[0, ends[:-1]]
-
-
-def _take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen rows of a ragged array, and the starts in it."""
-    n = lengths[which]
-    ends = np.cumsum(n)
-    at = np.arange(ends[-1]) + np.repeat(starts[which] - (ends - n), n)
-    return flat[at], ends - n
-
-
-def fit(texts: list[str], labels: list[float], s: Settings, prior: float) -> Model:
-    """Train on distinct texts; prior is the share of toxic rows among all labelled ones. An eighth chooses the epoch."""
-    seen: dict[str, list[float]] = {}
-    for t, y in zip(texts, labels):
-        seen.setdefault(t, []).append(y)
-    bags = [(bag(words(t, s), s), float(np.mean(ys))) for t, ys in sorted(seen.items())]
-    bags = [(b, y) for b, y in bags if b[0]]
-    if not bags:
-        return Model(s, np.zeros(s.buckets, np.float32), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
-    index: dict[str, int] = {}
-    docs, shares = [], []
-    for (distinct, parts), _ in bags:
-        docs.append([index.setdefault(w, len(index)) for w in distinct])
-        shares.append(np.array(parts))
-    y = np.array([y for _, y in bags])
-    grams, gram_at = _ragged([word_grams(w, s) for w in index])
-    gram_n = np.diff(np.r_[gram_at, len(grams)])
-    flat, doc_at = _ragged(docs)
-    doc_n = np.diff(np.r_[doc_at, len(flat)])
-    share = np.concatenate(shares)
-    in_docs = np.zeros(s.buckets, np.int32)
-    for d in docs:
-        in_docs[np.unique(_take(grams, gram_at, gram_n, np.array(d))[0])] += 1
-    usable = (in_docs >= s.least_docs).astype(np.float32)[:, None]
+        return float(self.scores([text])[0])
+
+
+def features(texts: list[str], s: Settings) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each text the table rows of its n-grams, and the share of each in its mean."""
+    lexicon = Lexicon(s)
+    owner, word, share = lexicon.bags(texts)
+    rows, n = gram_table(lexicon.new_words(), s)
+    grams, many = _take(rows, np.cumsum(n) - n, n, word)
+    both, which = np.unique(np.repeat(owner, many) * s.buckets + grams, return_inverse=True)
+    shares = np.bincount(which, np.repeat(share, many), len(both))
+    cuts = np.searchsorted(both, np.arange(1, len(texts)) * s.buckets)
+    return np.split(both % s.buckets, cuts), np.split(shares, cuts)
+
+
+def fit(rows: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray, s: Settings, prior: float) -> Model:
+    """Train on the features of distinct texts; prior is the share of toxic ones among all labelled texts. An eighth chooses the epoch."""
+    odds = lambda x: float(np.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6))))
+    full = [i for i, r in enumerate(rows) if len(r)]
+    if not full:
+        return Model(s, np.zeros(s.buckets, np.float32), odds(prior))
+    y = np.asarray(labels, float)[full]
+    n = np.array([len(rows[i]) for i in full])
+    starts = np.cumsum(n) - n
+    flat, share = np.concatenate([rows[i] for i in full]), np.concatenate([shares[i] for i in full]).astype(np.float32)
+    usable = (np.bincount(flat, minlength=s.buckets) >= s.least_docs).astype(np.float32)[:, None]
 
     rng = np.random.default_rng(s.seed)
-    params = [(rng.normal(0, 0.1, (s.buckets, s.width)) * usable).astype(np.float32), rng.normal(0, 0.3, (s.width, 2)).astype(np.float32), np.zeros(2, np.float32)]
+    params = [(rng.normal(0, 0.1, (s.buckets, s.width)) * usable).astype(np.float32), rng.normal(0, 0.3, (s.width, 2)).astype(np.float32)]
+    no_evidence = np.array([0, odds(float(y.mean()))], np.float32)  # fixed, so that what little a short text says moves it little
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    order = rng.permutation(len(bags))
+    order = rng.permutation(len(full))
     held, learn = order[:len(order) // 8], order[len(order) // 8:]
 
-    def forward(rows: np.ndarray):
-        at, starts = _take(np.arange(len(flat)), doc_at, doc_n, rows)
-        ids, local = np.unique(flat[at], return_inverse=True)
-        g, g_at = _take(grams, gram_at, gram_n, ids)
-        vectors = np.add.reduceat(params[0][g], g_at)
-        mean = np.add.reduceat(vectors[local] * share[at, None].astype(np.float32), starts) * s.gain
-        logits = mean @ params[1] + params[2]
+    def forward(which: np.ndarray):
+        at, many = _take(np.arange(len(flat)), starts, n, which)
+        part = share[at, None]
+        mean = np.add.reduceat(params[0][flat[at]] * part, np.cumsum(many) - many) * s.gain
+        logits = mean @ params[1] + no_evidence
         logits -= logits.max(1, keepdims=True)
         p = np.exp(logits)
-        return at, ids, local, g, mean, p / p.sum(1, keepdims=True)
+        return flat[at], part, many, mean, p / p.sum(1, keepdims=True)
 
-    def loss(rows: np.ndarray) -> float:
-        p = np.concatenate([forward(rows[i:i + 512])[-1][:, 1] for i in range(0, len(rows), 512)])
-        return float(-(y[rows] * np.log(p + 1e-7) + (1 - y[rows]) * np.log(1 - p + 1e-7)).mean())
+    def loss(which: np.ndarray) -> float:
+        p = np.concatenate([forward(which[i:i + 512])[-1][:, 1] for i in range(0, len(which), 512)])
+        return float(-(y[which] * np.log(p + 1e-7) + (1 - y[which]) * np.log(1 - p + 1e-7)).mean())
 
     best, step = (np.inf, [p.copy() for p in params]), 0
     for _ in range(s.epochs):
         learn = rng.permutation(learn)
         for i in range(0, len(learn), s.batch):
-            rows = learn[i:i + s.batch]
-            at, ids, local, g, mean, p = forward(rows)
-            wrong = (p - np.stack([1 - y[rows], y[rows]], 1)).astype(np.float32) / len(rows)
-            to_mean = (wrong @ params[1].T) * s.gain
-            to_word = np.repeat(to_mean, doc_n[rows], axis=0) * share[at, None].astype(np.float32)
-            per_word = np.stack([np.bincount(local, to_word[:, k], len(ids)) for k in range(s.width)], 1)
-            per_gram = np.repeat(per_word, gram_n[ids], axis=0)
-            to_table = np.stack([np.bincount(g, per_gram[:, k], s.buckets) for k in range(s.width)], 1).astype(np.float32)
-            grads = [(to_table + s.decay * params[0]) * usable, mean.T @ wrong + s.decay * params[1], wrong.sum(0)]
+            which = learn[i:i + s.batch]
+            g, part, many, mean, p = forward(which)
+            wrong = (p - np.stack([1 - y[which], y[which]], 1)).astype(np.float32) / len(which)
+            to_gram = np.repeat((wrong @ params[1].T) * s.gain, many, axis=0) * part
+            to_table = np.stack([np.bincount(g, to_gram[:, k], s.buckets) for k in range(s.width)], 1).astype(np.float32)
+            grads = [(to_table + s.decay * params[0]) * usable, mean.T @ wrong + s.decay * params[1]]
             step += 1
             for q, d, m, v in zip(params, grads, first, second):
                 m += 0.1 * (d - m)
@@ -186,47 +243,63 @@ def fit(texts: list[str], labels: list[float], s: Settings, prior: float) -> Mod
         now = loss(held) if len(held) else loss(learn)
         if now < best[0]:
             best = (now, [p.copy() for p in params])
-    table_, w, b = best[1]
-    odds = lambda x: np.log(min(max(x, 1e-6), 1 - 1e-6) / (1 - min(max(x, 1e-6), 1 - 1e-6)))
-    return Model(s, (table_ @ (w[:, 1] - w[:, 0]) * s.gain).astype(np.float32), float(b[1] - b[0] + odds(prior) - odds(float(y.mean()))))
+    table_, w = best[1]
+    return Model(s, (table_ @ (w[:, 1] - w[:, 0]) * s.gain).astype(np.float32), odds(prior))
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", settings: Settings = Settings()) -> Model | None:
-    """Fit on a bounded hash sample of the given labels. None if there is no usable label."""
+    """Fit on a bounded sample, by hash, of the distinct texts that the given labels name. None if there is no usable label."""
     one = (labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id"))
            .agg(F.avg(F.col(label_col).cast("double")).alias("label")))
+    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("of"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("name"))
+    named = materialize(texts.select("of", "name").join(one, F.col("of") == F.col("id")).groupBy("name").agg(F.avg("label").alias("label")), "labelled-texts")
     toxic = F.col("label") >= 0.5
-    n = one.agg(F.count(F.lit(1)).alias("n"), F.count_if(toxic).alias("toxic")).first()
+    n = named.agg(F.count(F.lit(1)).alias("n"), F.count_if(toxic).alias("toxic")).first()
     if not n["n"]:
         return None
     share = F.when(toxic, F.lit(settings.toxic_rows / max(1, n["toxic"]))).otherwise(F.lit(settings.clean_rows / max(1, n["n"] - n["toxic"])))
-    draw = F.shiftrightunsigned(F.xxhash64("id", F.lit("sample")), 33) / F.lit(float(2**31))
-    chosen = one.where(draw < share)  # about toxic_rows + clean_rows rows
-    texts = materialize(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") <= settings.sample_chars)
-                        .join(F.broadcast(chosen), "id").select("text", "label"), "toxicity-sample")
-    prior = n["toxic"] / n["n"]
+    draw = F.shiftrightunsigned(F.xxhash64("name", F.lit("sample")), 33) / F.lit(float(2**31))
+    chosen = named.where(draw < share)  # about toxic_rows + clean_rows rows
+    sample = texts.select("name", "text").join(F.broadcast(chosen), "name").dropDuplicates(["name"]).select("name", "text", "label")
 
-    def fit_all(texts: list, labels: list) -> list:
-        model = fit(texts, labels, settings, prior)
-        return [[model.weight.tobytes()], [model.bias]]
+    def measure(names: list, texts: list, labels: list) -> list:
+        rows, shares = features(texts, settings)
+        return [names, [r.astype(np.int32) for r in rows], [x.astype(np.float32) for x in shares], labels]
+
+    held = materialize(map_columns(sample, measure, "name long, rows array<int>, shares array<float>, label double", rows=64), "toxicity-features")
+    prior = n["toxic"] / n["n"]
 
-    # The sample's size is bounded by the settings, so one task takes it, as one slice.
-    fitted = map_columns(texts.coalesce(1).groupBy().agg(F.collect_list("text").alias("t"), F.collect_list("label").alias("y")),
-                         lambda t, y: fit_all(t[0], y[0]), "weight binary, bias double").first()
+    def fit_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, rows, shares, labels = [], [], [], []
+        for batch in batches:
+            for k, out in ((1, rows), (2, shares)):
+                flat, cuts = batch.column(k).flatten().to_numpy(), np.cumsum(np.diff(batch.column(k).offsets.to_numpy()))
+                out.extend(np.split(flat.copy(), cuts[:-1]))
+            names += batch.column(0).to_pylist()
+            labels += batch.column(3).to_pylist()
+        order = np.argsort(np.array(names, np.int64))
+        model = fit([rows[i] for i in order], [shares[i] for i in order], np.array(labels)[order], settings, prior)
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.tobytes()], pa.binary()), pa.array([model.bias])], names=["weight", "bias"])
+
+    # The sample's size is bounded by the settings, so one task takes it.
+    fitted = held.coalesce(1).mapInArrow(fit_all, "weight binary, bias double").first()
+    discard(named, held)
     return Model(settings, np.frombuffer(fitted["weight"], np.float32), fitted["bias"])
 
 
 def score(docs: DataFrame, model: Model | None, keep: list[str | Column], text_col: str = "text") -> DataFrame:
-    """The columns of keep, then score and predicted; keep must not name them."""
-    kept = docs.select(*keep)
+    """The columns of keep, then score and predicted; one of keep with such a name is replaced."""
+    kept = without(docs.select(*keep), "score", "predicted")
+    text, = fresh(kept, "text_to_judge")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     width = len(kept.columns)
 
     def judge(*columns: list) -> list:
-        found = [shared.value.score(t) if shared.value else 0.0 for t in columns[width]]
-        return [*columns[:width], found, [int(x >= 0.5) for x in found]]
+        found = shared.value.scores(columns[width]) if shared.value else np.zeros(len(columns[width]))
+        return [*columns[:width], found.tolist(), [int(x >= 0.5) for x in found]]
 
-    return map_columns(docs.select(*keep, F.col(text_col).alias("_text_to_judge")), judge, with_fields(kept, "score double, predicted int"))
+    rows = without(docs.select(*keep, F.col(text_col).alias(text)), "score", "predicted")
+    return map_columns(rows, judge, with_fields(kept, "score double, predicted int"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
