@@ -7,29 +7,33 @@ its context.
 
 1. Anchors whose hash occurs once repeat nothing. Where all contexts of a hash are equal, the whole
    context repeats.
-2. The distinct contexts of each other hash are sorted by what follows the anchor; a stack scan of the common
-   prefixes of neighbours gives the interval tree. In each interval the members are sorted by what precedes
-   the anchor: where that differs, the interval splits into maximal repeats, and each member's longest
-   repeat to the left and right is known.
-3. Hashes with more than `block` distinct contexts are not gathered anywhere. Their windows are counted by hash
-   instead, in classes of neighbouring ones: a class whose common core occurs once is done, as is one whose
-   whole stretch occurs again; other classes are cut into smaller ones, down to single windows. The spans are the same.
+2. The distinct contexts of all other hashes are sorted by hash and what follows the anchor, in ranges of about
+   equal size; a stack scan of the common prefixes of neighbours gives each hash's interval tree. In each interval the members
+   are sorted by what precedes the anchor: where that differs, the interval splits into maximal repeats, and
+   each member's longest repeat to the left and right is known.
+3. A hash of many contexts, as of a passage that half the documents share, goes on through several ranges. What a context
+   can share with those of other ranges is told by the ranges' first and last contexts alone: a few lengths, each of which names one
+   window of `length` bytes, and equal windows meet by hash. Sorted by what follows, that gives the most bytes
+   to the right; such hashes are sorted by what precedes too, which gives those to the left. No task holds more than a range.
 
 Spans go back to all anchors with that context, and each document drops their union. Documents are keyed by id
 and text, so repeated rows count as repeats of each other. Hashes of 64 bits stand for strings of bytes.
 
 Edge cases: null and empty texts have no bytes; texts shorter than `length` lose nothing; very long
-texts are read in overlapping pieces; other columns are not read.
+texts are read in overlapping pieces; a null id is an id; an empty table gives an empty result; other columns are not read,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,13 +45,10 @@ from quillspark.shipping import ship_package
 
 @dataclass(frozen=True)
 class Settings:
-    """length: of the strings that must not repeat; gram: bytes hashed for anchors; block: most contexts in one tree;
-    steps: windows of a class in each round, the last 1, each a multiple of the next; piece: window starts read at a time."""
+    """length: of the strings that must not repeat; gram: bytes hashed for anchors; piece: window starts read at a time."""
 
     length: int = 200
     gram: int = 32
-    block: int = 8192
-    steps: tuple[int, ...] = (12, 3, 1)
     piece: int = 1 << 19
 
     @property
@@ -136,156 +137,277 @@ def lcp_intervals(lcp: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def _grid(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The strings as rows of one width, and their lengths."""
+    sizes = np.array([len(p) for p in parts], np.int64)
+    width = max(1, int(sizes.max(initial=0)))
+    return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(len(parts), width), sizes
+
+
+def _shared(a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Length of the common prefix of each row of a and of b."""
+    differ = a != b
+    return np.minimum(np.where(differ.any(1), differ.argmax(1), a.shape[1]), most)
+
+
 def _common(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Length of the common prefix of each row and the next."""
-    differ = rows[1:] != rows[:-1]
-    first = np.where(differ.any(1), differ.argmax(1), rows.shape[1])
-    return np.minimum(first, np.minimum(sizes[1:], sizes[:-1]))
+    return _shared(rows[1:], rows[:-1], np.minimum(sizes[1:], sizes[:-1]))
 
 
 class ContextTree:
-    """Enhanced suffix array of the distinct contexts of one anchor hash."""
-
-    def __init__(self, before: list[bytes], after: list[bytes], s: Settings):
-        """before: what precedes the anchor, last byte first; after: what begins at it."""
-        self.s = s
-        self.order = sorted(range(len(after)), key=after.__getitem__)
-        grid = lambda parts, width: np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(len(parts), width)
-        right = [after[i] for i in self.order]
-        left = [before[i] for i in self.order]
-        self.left, self.left_n = grid(left, s.left), np.array([len(x) for x in left])
-        self.rank = np.argsort(sorted(range(len(left)), key=left.__getitem__))
-        self.intervals = lcp_intervals(_common(grid(right, s.length), np.array([len(x) for x in right])).tolist())
+    """Enhanced suffix array of distinct contexts, sorted by hash, then by `main`: what stands on one side of the anchor.
+
+    rest is what stands on the other side, read away from the anchor; contexts of several hashes make a tree for each.
+    """
+
+    def __init__(self, hashes: np.ndarray, main: list[bytes], rest: list[bytes]):
+        self.n = len(main)
+        self.rest, self.rest_n = _grid(rest)
+        rows, sizes = _grid(main)
+        self.lcp = _common(rows, sizes)
+        self.lcp[hashes[1:] != hashes[:-1]] = -1
+        self.intervals = lcp_intervals(self.lcp.tolist())
+        self.rank = np.argsort(np.array(sorted(range(self.n), key=rest.__getitem__), np.int64)) if self.n else np.zeros(0, np.int64)
 
     def maximal_repeats(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each interval: its common length to the right, members, and the most bytes each shares to the left with another.
+        """For each interval: its common length, members, and the most bytes each shares on the other side with another.
 
-        An interval whose members all share their whole left side is left-extensible by it, and the
-        shared length says by how much; where members differ, it is diverse and splits there.
+        Where members share their whole other side, the interval is extensible there, and the shared length says by
+        how much; where they differ, it is diverse and splits into maximal repeats.
         """
-        order = np.array(self.order)
         for size, first, last in self.intervals:
             inside = np.arange(first, last + 1)
             inside = inside[np.argsort(self.rank[inside])]
-            shared = _common(self.left[inside], self.left_n[inside])
-            yield size, order[inside], np.maximum(np.r_[0, shared], np.r_[shared, 0])
-
-    def reaches(self) -> tuple[np.ndarray, np.ndarray]:
-        """For each context, bytes covered to the left and right of the anchor by strings that occur in another one."""
-        lo, hi = np.zeros(len(self.order), np.int64), np.zeros(len(self.order), np.int64)
-        for size, who, shared in self.maximal_repeats():
-            ok = shared + size >= self.s.length
-            lo[who[ok]] = np.maximum(lo[who[ok]], shared[ok])
-            hi[who[ok]] = np.maximum(hi[who[ok]], size)
-        return lo, hi
-
-
-def _tree_rows(rows: DataFrame, s: Settings) -> DataFrame:
-    """hash, context, lo, hi from rows (hash, context, left, bytes) that are sorted by hash within partitions."""
-    schema = T.StructType.fromDDL("hash long, context long, lo int, hi int")
+            shared = _common(self.rest[inside], self.rest_n[inside])
+            yield size, inside, np.maximum(np.r_[0, shared], np.r_[shared, 0])
+
+    def reaches(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each context, bytes covered on the main and on the other side by strings that occur in another one."""
+        main, rest = np.zeros(self.n, np.int64), np.zeros(self.n, np.int64)
+        pairs = np.array([(size, first) for size, first, last in self.intervals if last == first + 1], np.int64).reshape(-1, 2)
+        size, first = pairs[:, 0], pairs[:, 1]
+        shared = _shared(self.rest[first], self.rest[first + 1], np.minimum(self.rest_n[first], self.rest_n[first + 1]))
+        for who in (first, first + 1):
+            ok = shared + size >= length
+            np.maximum.at(main, who[ok], size[ok])
+            np.maximum.at(rest, who[ok], shared[ok])
+        self.intervals = [x for x in self.intervals if x[2] > x[1] + 1]
+        for size_, who, shared in self.maximal_repeats():
+            ok = shared + size_ >= length
+            main[who[ok]] = np.maximum(main[who[ok]], size_)
+            rest[who[ok]] = np.maximum(rest[who[ok]], shared[ok])
+        return main, rest
+
+
+REACH, MEMBER, ENDS, WINDOW = 0, 1, 2, 3
+FAR = 1 << 14  # longer than any context
+SCANNED = ("role int, part int, hash long, context long, main_reach int, rest_reach int, main binary, rest binary, to_first int, to_last int, most int, "
+           "from_first array<int>, from_last array<int>, size int, window long, asks boolean")
+BLANK = dict.fromkeys(x.split()[0] for x in SCANNED.split(", "))
+
+
+def _name(h: int, size: int, after: bytes, before: bytes, length: int) -> int:
+    """A 64-bit hash of the window of size bytes behind the anchor and the rest before it (last byte first)."""
+    data = after[:size] + before[:length - size]
+    return int.from_bytes(hashlib.blake2b(data, digest_size=8, key=(h % 2**64).to_bytes(8, "little"), salt=size.to_bytes(2, "little")).digest(), "little", signed=True)
+
+
+class Windows:
+    """Windows of contexts that may occur in other ranges. A context that knows already that its window repeats asks nothing, and
+    then the window is named once, for others that ask."""
+
+    def __init__(self, length: int):
+        self.length = length
+        self.told: set[int] = set()
+
+    def of(self, h: int, after: bytes, before: bytes, sizes: list[int], behind: int, ahead: int, covered_after: int, covered_before: int) -> Iterator[tuple[int, int, bool]]:
+        """size, name, asks; behind and ahead bound what any other context shares with this one after and before the anchor."""
+        for size in sizes:
+            other = self.length - size
+            if 0 <= other <= min(ahead, len(before)) and size <= min(behind, len(after)):
+                name = _name(h, size, after, before, self.length)
+                asks = size > covered_after or other > covered_before
+                if asks or name not in self.told:
+                    if not asks:
+                        self.told.add(name)
+                    yield size, name, asks
+
+
+def _scan(rows: DataFrame, s: Settings, turned: bool = False, group: int = 8192) -> DataFrame:
+    """Trees over sorted ranges of rows (hash, context, main, rest); a partition is one range. Rows of the columns SCANNED.
+
+    REACH rows have the reaches within the range. The first and the last hash of a range may go on in the neighbouring
+    ranges: MEMBER rows are their contexts, with their reaches, the bytes they share with the range's first and last, and `most`: the
+    most that any other context shares with them on the main side. ENDS rows have the first and last (in main and rest) and the lengths that others
+    share with them. Turned rows have come from another scan, by the other side, with the sizes of windows that ranges there left open, with
+    `most` there, and with reaches; WINDOW rows name these windows. group: about how many rows are worked on together.
+    """
+    schema = T.StructType.fromDDL(SCANNED)
     arrow = to_arrow_schema(schema)
+    spark = rows.sparkSession
+    ship_package(spark)
+    order = ["hash", "main", "rest"]
+
+    def work(held: list[tuple], opens: bool, ends: bool) -> Iterator[tuple]:
+        part = TaskContext.get().partitionId()
+        hashes, contexts, main, rest = (list(c) for c in zip(*[x[:4] for x in held]))
+        h = np.array(hashes, np.int64)
+        tree = ContextTree(h, main, rest)
+        lcp = tree.lcp
+        reach, other = tree.reaches(s.length)
+        row = lambda role, i, **more: tuple((BLANK | {"role": role, "part": part, "hash": hashes[i]} | more).values())
+        for i in np.flatnonzero(reach + other):
+            yield row(REACH, i, context=contexts[i], main_reach=int(reach[i]), rest_reach=int(other[i]))
+        n = len(held)
+        most = np.maximum(np.r_[FAR if opens else -1, lcp], np.r_[lcp, FAR if ends else -1])  # the neighbour of a range's edge is not here
+        if turned:
+            windows = Windows(s.length)
+            for i, (sizes, behind, known_after, known_before) in enumerate(x[4:] for x in held):
+                for size, name, asks in windows.of(hashes[i], rest[i], main[i], sizes, behind, int(most[i]), max(known_after, int(other[i])), max(known_before, int(reach[i]))):
+                    yield row(WINDOW, i, context=contexts[i], size=size, window=name, asks=asks)
+        first_n = int((h != h[0]).argmax()) or n
+        last_n = int((h[::-1] != h[-1]).argmax()) or n
+        for lo, hi in {(0, first_n) if opens else None, (n - last_n, n) if ends else None} - {None}:
+            inside = lcp[lo:hi - 1]
+            to_first = np.minimum.accumulate(np.r_[FAR, inside])
+            to_last = np.minimum.accumulate(np.r_[FAR, inside[::-1]])[::-1]
+            at_first, at_last = opens and lo == 0, ends and hi == n
+            for i in range(lo, hi):
+                # Turned, `most` is what the scan before has found, for its own side: the one that windows of this scan need a bound for.
+                yield row(MEMBER, i, context=contexts[i], main_reach=int(reach[i]), rest_reach=int(other[i]), main=main[i], rest=rest[i], most=held[i][5] if turned else int(most[i]),
+                          to_first=int(to_first[i - lo]) if at_first else None, to_last=int(to_last[i - lo]) if at_last else None)
+            yield row(ENDS, lo, main=main[lo], rest=main[hi - 1], to_first=int(at_first), to_last=int(at_last), from_first=np.unique(to_first[1:]).tolist(), from_last=np.unique(to_last[:-1]).tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        out: list[tuple] = []
+        held: list[tuple] = []
+        opens = True
 
-        def close() -> None:
-            if len(held) > 1:
-                tree = ContextTree([c[:n][::-1] for _, n, c in held], [c[n:] for _, n, c in held], s)
-                lo, hi = tree.reaches()
-                out.extend((now, held[i][0], int(lo[i]), int(hi[i])) for i in np.flatnonzero(hi))
+        def out(ends: bool) -> Iterator[pa.RecordBatch]:
+            made = work(held, opens, ends)
+            while some := list(itertools.islice(made, 4096)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some), arrow)], schema=arrow)
 
         for batch in batches:
-            for h, *row in zip(*[c.to_pylist() for c in batch.columns]):
-                if h != now:
-                    close()
-                    now, held = h, []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if held and row[:2] == held[-1][:2]:
+                    continue  # a repeated row's
+                if len(held) >= group and row[0] != held[-1][0]:
+                    yield from out(False)
+                    held, opens = [], False
                 held.append(row)
-            if len(out) > 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
-                out = []
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), arrow)], schema=arrow)
-
-    ship_package(rows.sparkSession)
-    return rows.select("hash", "context", "left", "bytes").mapInArrow(run, schema)
-
-
-def _backs(n: int, size: int, s: Settings) -> range:
-    """How many bytes before the anchor the windows of a context begin that has n bytes before it."""
-    return range(max(0, n + s.length - size), min(n, s.left) + 1)
-
-
-def _count_windows(contexts: DataFrame, s: Settings) -> DataFrame:
-    """hash, context, lo, hi like the trees', by counts of hashes alone; contexts: hash, context, left, bytes.
-
-    Each round takes classes of fewer windows, down to one, of those that the round before left open.
+        if held:
+            yield from out(True)
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["hash", "context", "main", "rest", *(["sizes", "most", "rest_reach", "main_reach"] if turned else [])]
+    return rows.select(*columns).repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(run, schema)
+
+
+def _beyond(ends: list) -> list[tuple[int, int, list[int], list[int]]]:
+    """part, hash, lefts, rights of the hashes that go on in other ranges: the lengths that the range's first (last)
+    context shares with contexts of ranges before (behind) it. ends: ENDS rows, at most two for each range."""
+    first = {r["part"]: r for r in ends if r["to_first"]}
+    last = {r["part"]: r for r in ends if r["to_last"]}
+    parts = sorted(first)
+    sides: dict[tuple[int, int], list[set[int]]] = {}
+    for side, order in ((0, parts), (1, parts[::-1])):
+        known: set[int] = set()
+        for near, part in zip(order, order[1:]):
+            a, b = (last[near], first[part]) if side == 0 else (first[near], last[part])
+            if a["hash"] != b["hash"]:
+                known = set()
+                continue
+            step = _prefix(a["rest"] if side == 0 else a["main"], b["main"] if side == 0 else b["rest"])
+            seen = {FAR, *(a["from_last"] if side == 0 else a["from_first"])}
+            if a["to_first"] and a["to_last"]:  # the whole range is of this hash
+                across = _prefix(a["main"], a["rest"])
+                seen |= {min(across, k) for k in known}
+            known = {min(step, k) for k in seen}
+            sides.setdefault((part, b["hash"]), [set(), set()])[side] |= known
+    return [(p, h, sorted(lefts), sorted(rights)) for (p, h), (lefts, rights) in sides.items()]
+
+
+def _prefix(a: bytes, b: bytes) -> int:
+    return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+def _open_members(scanned: DataFrame) -> DataFrame | None:
+    """The members of hashes that several ranges hold, with sizes: the bytes that each may share on the main side with contexts of other ranges.
+
+    A context of another range shares min(to the end of this range, from there on) bytes with it, so a few lengths
+    tell all. None if no hash is in several ranges.
     """
-
-    def classes(step: int, outer: int):
-        def make(hashes: list, contexts_: list, lefts: list, data: list, opens: list) -> list:
-            out: list[list] = [[] for _ in range(5)]
-            for h, c, n, b, starts in zip(hashes, contexts_, lefts, data, opens):
-                backs = _backs(n, len(b), s)
-                inside = np.array(backs, np.int64)
-                if outer:
-                    inside = inside[np.isin(inside // outer * outer, starts)]
-                first = np.unique(inside // step * step)
-                if not len(first):
-                    continue
-                d, last = Hashes(np.frombuffer(b, np.uint8)), first + step - 1
-                mark = _mix(np.uint64(h & (2**64 - 1)) + first.astype(np.uint64))
-                core = _mix(d.of(n - first, n + s.length - last) ^ mark).view(np.int64)
-                whole = _mix(d.of(np.maximum(n - last, 0), np.minimum(n + s.length - first, len(b))) ^ mark).view(np.int64)
-                full = (first >= backs.start) & (last < backs.stop)
-                for column, x in zip(out, ([h] * len(first), [c] * len(first), first.tolist(), core.tolist(), [w if f else None for w, f in zip(whole.tolist(), full)])):
-                    column.extend(x)
-            return out
-
-        return make
-
-    rows = contexts.select("hash", "context", "left", "bytes")
-    asked, outer, found = rows.withColumn("opens", F.array().cast("array<int>")), 0, None
-    for step in s.steps:
-        each = materialize(map_columns(asked, classes(step, outer), "hash long, context long, first int, core long, whole long", rows=512), "window-classes")
-        # Contexts that agree on a class are one row here, so what many of them share is met once and not once for each.
-        kinds = each.groupBy("hash", "first", "core", "whole").agg(F.min("context").alias("c0"), F.max("context").alias("c1"))
-        cores = kinds.groupBy(F.col("core").alias("again")).agg(F.min("c0").alias("k0"), F.max("c1").alias("k1")).where("k0 <> k1").select("again")
-        live = materialize(kinds.join(cores, F.col("core") == F.col("again"), "left_semi"), "live-classes")
-        repeated = live.where("whole is not null and c0 <> c1")
-        done = each.join(repeated.select(F.col("whole").alias("again")), F.col("whole") == F.col("again"), "left_semi").groupBy("hash", "context").agg(
-            (F.max("first") + step - 1).cast("int").alias("lo"), (F.lit(s.length) - F.min("first")).cast("int").alias("hi"))
-        found = done if found is None else found.unionByName(done)
-        if step > 1:
-            # An open class may share windows with a repeated one, for which one context stands; classes cut by a text's end are all open.
-            ends = each.where("whole is null").join(live.where("whole is null").select(F.col("core").alias("again")), F.col("core") == F.col("again"), "left_semi")
-            still = live.where("whole is not null").select("hash", F.col("c0").alias("context"), "first").unionByName(ends.select("hash", "context", "first"))
-            opens = still.groupBy("hash", "context").agg(F.collect_set("first").alias("opens"))  # at most length / step
-            asked, outer = rows.join(opens, ["hash", "context"]).select("hash", "context", "left", "bytes", "opens"), step
-    return found.groupBy("hash", "context").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi"))
+    spark = scanned.sparkSession
+    beyond = _beyond(scanned.where(F.col("role") == ENDS).select("part", "hash", "main", "rest", "to_first", "to_last", "from_first", "from_last").collect())
+    if not beyond:
+        return None
+    cut = spark.createDataFrame(beyond, "part int, hash long, lefts array<int>, rights array<int>")  # at most two for each range
+    none = F.array().cast("array<int>")
+    within = lambda to, lengths: F.when(F.col(to).isNotNull(), F.transform(lengths, lambda k: F.least(F.col(to), k))).otherwise(none)
+    members = scanned.where(F.col("role") == MEMBER).join(F.broadcast(cut), ["part", "hash"])
+    return members.withColumn("sizes", F.array_distinct(F.concat(within("to_first", "lefts"), within("to_last", "rights"))))
+
+
+def _reaches(contexts: DataFrame, s: Settings) -> DataFrame:
+    """hash, context, lo, hi: the bytes before and behind the anchor that are covered by strings which occur in another context.
+
+    contexts: hash, context, before (last byte first), after; rows that repeat hash and context count once. Sorted
+    by what follows the anchor, pairs within a range are found whole. Of pairs across ranges the bytes that they can share to the right are known,
+    and so are the windows that can repeat. Hashes of several ranges are sorted once more, by what precedes the anchor, which
+    leaves windows open likewise; it also tells the most that a context shares to the left with any other, which rules most windows out. Equal windows meet by hash.
+    """
+    reach = lambda df, lo, hi: df.where(F.col("role") == REACH).select("hash", "context", F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    by_right = materialize(_scan(contexts.select("hash", "context", F.col("after").alias("main"), F.col("before").alias("rest")), s), "right-trees")
+    found, read = reach(by_right, "rest_reach", "main_reach"), [by_right]
+    if (members := _open_members(by_right)) is not None:
+        turn = members.select("hash", "context", F.col("rest").alias("main"), F.col("main").alias("rest"), "sizes", "most", F.col("main_reach").alias("rest_reach"), F.col("rest_reach").alias("main_reach"))
+        by_left = materialize(_scan(turn, s, turned=True), "left-trees")
+        read.append(by_left)
+        found = found.unionByName(reach(by_left, "main_reach", "rest_reach"))
+        windows = by_left.where(F.col("role") == WINDOW).select("hash", "context", "size", "window", "asks")
+        if (members := _open_members(by_left)) is not None:
+
+            def name(hashes: list, contexts_: list, befores: list, afters: list, sizes: list, mosts: list, reaches: list, others: list) -> list:
+                made, out = Windows(s.length), []
+                for h, c, before, after, lefts, behind, covered_before, covered_after in zip(hashes, contexts_, befores, afters, sizes, mosts, reaches, others):
+                    out += [(h, c, *w) for w in made.of(h, after, before, [s.length - k for k in lefts], behind, FAR, covered_after, covered_before)]
+                return [list(c) for c in zip(*out)] or [[], [], [], [], []]
+
+            asked = members.select("hash", "context", "main", "rest", "sizes", "most", "main_reach", "rest_reach")
+            windows = windows.unionByName(map_columns(asked, name, "hash long, context long, size int, window long, asks boolean", rows=4096))
+        windows = materialize(windows, "windows")
+        read.append(windows)
+        often = windows.groupBy(F.col("window").alias("again")).agg(F.min("context").alias("c0"), F.max("context").alias("c1")).where("c0 <> c1").select("again")
+        told = windows.where("asks").join(often, F.col("window") == F.col("again"), "left_semi")
+        found = found.unionByName(told.groupBy("hash", "context").agg((F.lit(s.length) - F.min("size")).alias("lo"), F.max("size").alias("hi")))
+    best = materialize(found.groupBy("hash", "context").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")), "tree-reaches")
+    discard(*read)
+    return best
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
     """doc, sum (hash of the text), spans (sorted [start, stop) of bytes that repeat) of each document that has any; and data, its bytes."""
     kind = docs.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
-    source = docs.select(F.col(id_col).alias("doc"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("sum"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
+    source = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sum"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
 
     def find(docs_: list, sums: list, datas: list) -> list:
         parts = [anchors(b, s) for b in datas]
         n = [len(p[0]) for p in parts]
         flat = lambda k: np.concatenate([p[k] for p in parts])
         pos, size = flat(0), np.repeat([len(b) for b in datas], n)
-        return [[d for d, k in zip(docs_, n) for _ in range(k)], np.repeat(np.array(sums, np.int32), n), pos.astype(np.int32), np.minimum(pos, s.left).astype(np.int16),
+        return [[d for d, k in zip(docs_, n) for _ in range(k)], np.repeat(np.array(sums, np.int64), n), pos.astype(np.int32), np.minimum(pos, s.left).astype(np.int16),
                 np.minimum(size - pos, s.length).astype(np.int16), flat(1).view(np.int64), flat(2).view(np.int64)]
 
     same_row = F.col("doc").eqNullSafe(F.col("d2")) & (F.col("sum") == F.col("s2"))
     long_enough = source.where(F.octet_length("data") >= s.length)
-    found = materialize(map_columns(long_enough, find, f"doc {kind}, sum int, pos int, left short, right short, hash long, context long", rows=256), "anchors")
-    groups = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1").select("hash", (F.col("c0") != F.col("c1")).alias("mixed"))
+    found = materialize(map_columns(long_enough, find, f"doc {kind}, sum long, pos int, left short, right short, hash long, context long", rows=256), "anchors")
+    groups = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1")
+    # Written, so that the join's partitions are free to split where one hash has many anchors.
+    groups = materialize(groups.select("hash", (F.col("c0") != F.col("c1")).alias("mixed")), "repeated-hashes")
     dup = materialize(found.join(groups, "hash"), "repeated-anchors")
-    discard(found)
+    discard(found, groups)
     release_shuffles(spark)
     at = lambda lo, hi: F.struct((F.col("pos") - lo).alias("start"), (F.col("pos") + hi).alias("stop"))
     whole = F.col("left") + F.col("right") >= s.length
@@ -293,21 +415,17 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     mixed = dup.where("mixed")
     kinds = materialize(mixed.groupBy("hash", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "sum", "pos", "left", "right")).alias("one")), "contexts")
-    several = kinds.groupBy("hash").agg(F.count(F.lit(1)).alias("m"))
-    asked = kinds.join(several, "hash").select("one.doc", "one.sum", F.struct("hash", "context", "m", "one.pos", "one.left", "one.right").alias("ask"))
+    asked = kinds.select("one.doc", "one.sum", F.struct("hash", "context", "one.pos", "one.left", "one.right").alias("ask"))
     wanted = asked.groupBy("doc", "sum").agg(F.collect_list("ask").alias("asks"))  # no more than a document has anchors
     near = source.join(wanted.withColumnsRenamed({"doc": "d2", "sum": "s2"}), same_row).select("data", "asks")
 
     def cut(datas: list, asks: list) -> list:
-        rows = [(a["hash"], a["context"], a["m"], a["left"], b[a["pos"] - a["left"]:a["pos"] + a["right"]]) for b, many in zip(datas, asks) for a in many]
-        return [list(c) for c in zip(*rows)] or [[], [], [], [], []]
+        rows = [(a["hash"], a["context"], b[a["pos"] - a["left"]:a["pos"]][::-1], b[a["pos"]:a["pos"] + a["right"]]) for b, many in zip(datas, asks) for a in many]
+        return [list(c) for c in zip(*rows)] or [[], [], [], []]
 
-    bytes_ = materialize(map_columns(near, cut, "hash long, context long, m long, left int, bytes binary", rows=64), "context-bytes")
+    bytes_ = materialize(map_columns(near, cut, "hash long, context long, before binary, after binary", rows=64), "context-bytes")
     release_shuffles(spark)
-    small = bytes_.where(F.col("m") <= s.block).repartition("hash").sortWithinPartitions("hash")
-    by_tree = _tree_rows(small, s)
-    large = bytes_.where(F.col("m") > s.block)
-    reach = by_tree if large.isEmpty() else by_tree.unionByName(_count_windows(large, s))
+    reach = _reaches(bytes_, s)
     often = kinds.where("n > 1").select("hash", "context", F.col("one.left").cast("int").alias("lo"), F.col("one.right").cast("int").alias("hi")).where(F.col("lo") + F.col("hi") >= s.length)
     best = materialize(reach.unionByName(often).groupBy("hash", "context").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")), "reaches")
     release_shuffles(spark)
@@ -348,9 +466,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out[4].append(hashlib.sha256(_keep(data, runs)).hexdigest())
         return out
 
-    hit = map_columns(repeated_spans(docs, id_col, text_col, s), drop, f"d2 {kind}, s2 int, n_removed long, n_spans long, kept string", rows=128).dropDuplicates(["d2", "s2"])
+    hit = map_columns(repeated_spans(docs, id_col, text_col, s), drop, f"d2 {kind}, s2 long, n_removed long, n_spans long, kept string", rows=128).dropDuplicates(["d2", "s2"])
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
-    every = docs.select(F.col(id_col).alias("doc"), F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("sum"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("all"))
+    every = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sum"), F.octet_length(data).cast("long").alias("n_bytes"), F.sha2(data, 256).alias("all"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     return every.join(hit, every["doc"].eqNullSafe(F.col("d2")) & (every["sum"] == F.col("s2")), "left").select(
         F.col("doc").alias(id_col), "n_bytes", zero("n_removed"), zero("n_spans"), F.coalesce("kept", "all").alias("kept_sha256"))
