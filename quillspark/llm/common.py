@@ -34,6 +34,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialized_parts(df: DataFrame, name: str, column: str) -> str:
+    """Write df to the shared folder, with a folder for each value of a column, to be read and deleted by itself; the path."""
+    path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+    return path
+
+
 def fold(key: str | Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo; a null key counts as the empty text."""
     col = F.col(key) if isinstance(key, str) else key
