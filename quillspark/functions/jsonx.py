@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quillspark.functions.text import strip
+
+# Fixed value: a fenced block, with or without the language's name.
 FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.DOTALL | re.IGNORECASE)
 FENCE_JVM = r"(?is)```(?:json)?\s*(.*?)```"
 
@@ -82,7 +85,7 @@ def extract_contract(c: Column | str) -> Column:
 
 
 def parse_page_answer(c: Column | str) -> Column:
-    """struct(content, urls, score, raw): a reply's object, or where there is none the text behind </think> as raw.
+    """struct(content, urls, score, raw): a reply's object, or where there is none the stripped text behind </think>, or else the text as it is, as raw.
 
     \\( and \\) are escaped once more before parsing. Missing keys: content '', no urls, score 0.0; raw text: score 0.5.
     """
@@ -104,7 +107,8 @@ def parse_page_answer(c: Column | str) -> Column:
                     score = 0.0
                 rows.append((str(value.get("content", "")), urls, score, None))
             else:
-                plain = (text or "").rpartition("</think>")[2].strip()
+                _, thought, tail = (text or "").rpartition("</think>")
+                plain = tail.strip() if thought else text or ""
                 rows.append((plain, [], 0.5, plain))
         return pd.DataFrame(rows, columns=["content", "urls", "score", "raw"])
 
@@ -117,6 +121,13 @@ def tool_arguments(c: Column | str) -> Column:
     return F.coalesce(F.to_json(F.try_parse_json(F.coalesce(F.nullif(c, F.lit("")), F.lit("{}")))), F.to_json(F.struct(c.alias("_raw"))))
 
 
+def parse_or_text(c: Column | str) -> Column:
+    """struct(json, text): the value as compact JSON text where the text is JSON, else the text itself; one of the two is null, both for null."""
+    c = c if isinstance(c, Column) else F.col(c)
+    value = F.to_json(F.try_parse_json(F.when(strip(c) != "", c)))
+    return F.struct(value.alias("json"), F.when(value.isNull(), c).alias("text"))
+
+
 def flatten(value) -> str:
     """Natural text of any JSON value: items joined by spaces, fields as `key: text` by semicolons, empty ones dropped."""
     if value is None:

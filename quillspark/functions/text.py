@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = r"[a-z0-9_]+|[一-鿿]+"
+# Fixed value: what counts as a token.
+TOKEN = r"[a-z0-9_]+|[\u4e00-\u9fff]+"
 
 # Words that never count as evidence for a match.
 STOPWORDS = (
@@ -130,6 +131,20 @@ def after_thinking(c: Column | str) -> Column:
     return F.substring_index(_col(c), "</think>", -1)
 
 
+# Fixed value: the lines of a traceback that name only the runner's own frame.
+RUNNER_FRAME = 'Traceback (most recent call last):\n  File "<string>", line 1, in <module>\n'
+
+
+def clean_traceback(c: Column | str) -> Column:
+    """A traceback without the runner's frame."""
+    return F.replace(_col(c), F.lit(RUNNER_FRAME), F.lit(""))
+
+
+def join_pages(pages: Column | str) -> Column:
+    """Texts of a document's pages, in order, as one stripped text; missing pages count as empty."""
+    return strip(F.array_join(F.transform(_col(pages), lambda p: F.coalesce(p, F.lit(""))), ""))
+
+
 def decode_leniently(c: Column | str) -> Column:
     """UTF-8 bytes as text, with U+FFFD for what is not valid."""
     return F.make_valid_utf8(_col(c).cast("string"))
@@ -273,6 +288,16 @@ def scope_bullets(scope: Column, most: int = 6) -> Column:
     return F.array_join(F.transform(F.slice(scope, 1, most), lambda s: F.concat(F.lit("    - "), s)), "\n")
 
 
+def scope_lines(scope: Column | str, most: int = 6) -> Column:
+    """The same of JSON text that may be a list, a string or another scalar; '' for what is missing or empty."""
+    c = _col(scope)
+    doc = F.try_parse_json(c)
+    kind = F.schema_of_variant(doc)
+    plain = F.try_variant_get(doc, "$", "string")
+    items = F.when(kind.startswith("ARRAY"), F.from_json(c, "array<string>")).when(kind.isin("VOID") | (plain.isin("", "0", "false")), F.array().cast("array<string>")).otherwise(F.array(plain))
+    return F.coalesce(scope_bullets(items, most), F.lit(""))
+
+
 def fill_template(template: str, **values: Column | str) -> Column:
     """{name} replaced by a column's text, {{ and }} by braces; null fills as ''."""
     parts: list[Column] = []

@@ -39,7 +39,7 @@ def yaml_to_json(c: Column) -> Column:
 
 def existing(roots: list[str]) -> list[str]:
     """Roots in order, each once, without local ones that don't exist."""
-    return [r for r in dict.fromkeys(roots) if "://" in r or Path(r).is_dir()]
+    return [r for r in dict.fromkeys(roots) if ":/" in r or Path(r).is_dir()]
 
 
 def skills(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -110,3 +110,8 @@ def manifest_brief(rows: DataFrame) -> DataFrame:
     line = F.concat(F.lit("- skill_id: "), F.col("skill_id"), part("domain: ", F.trim("domain")), part("goal: ", goal_line(collapse_space("goal"))), part("scope:\n", scope_bullets(F.col("scope"))))
     entries = F.array_sort(F.collect_list(F.struct(F.lower("domain").alias("a"), F.lower("skill_id").alias("b"), line.alias("line"))))
     return rows.agg(F.concat(F.lit("[SKILL MANIFESTS]\n"), F.array_join(F.transform(entries, lambda e: e["line"]), "\n\n")).alias("brief"))
+
+
+def write_brief(brief_rows: DataFrame, path: str) -> None:
+    """The one row's prompt as a text file below a folder."""
+    brief_rows.select("brief").coalesce(1).write.mode("overwrite").text(path)

@@ -81,10 +81,10 @@ def repaired_ids(ids: Column) -> Column:
 
 
 def repair_subtasks(rows: DataFrame, task: str = "task", pos: str = "pos") -> DataFrame:
-    """Rows (task, pos, id, description) with unique ids and no blank description, ordered by id within each task."""
+    """Rows (task, pos, id, description) with unique ids and no blank description; place (from 0) is their order by id within each task."""
     lists = rows.groupBy(task).agg(F.array_sort(F.collect_list(F.struct(pos, "id", "description"))).alias("items"))  # a contract's own subtasks
     ids = repaired_ids(F.transform("items", lambda x: x["id"]))
-    out = lists.withColumn("ids", ids).select(task, F.posexplode("items").alias("at", "x"), "ids").select(
-        task, F.col(f"x.{pos}").alias(pos), F.element_at("ids", F.col("at") + 1).alias("id"), F.col("x.description").alias("description"))
+    by_id = F.array_sort(F.zip_with("items", "ids", lambda x, i: F.struct(i.alias("id"), x[pos].alias(pos), x["description"].alias("description"))))
+    out = lists.withColumn("ids", ids).select(task, F.posexplode(by_id).alias("place", "x")).select(task, "place", F.col(f"x.{pos}").alias(pos), "x.id", "x.description")
     blank = strip(F.coalesce("description", F.lit(""))) == ""
     return out.withColumn("description", F.when(blank, F.concat(F.lit("Subtask "), F.col("id").cast("string"))).otherwise(F.col("description")))

@@ -32,6 +32,11 @@ def sibling_layout(nodes: DataFrame, by: list[str], depth: str, order: str) -> D
     return nodes.withColumn("viz_x", F.row_number().over(w.orderBy(order)) / (F.count(F.lit(1)).over(w) + 1)).withColumn("viz_y", F.lit(0.12) + F.lit(0.16) * F.col(depth))
 
 
+def max_depth(nodes: DataFrame, by: list[str], depth: str = "depth") -> DataFrame:
+    """The greatest depth of each group's nodes, 0 where none has one."""
+    return nodes.groupBy(*by).agg(F.coalesce(F.max(depth), F.lit(0)).alias("max_depth"))
+
+
 def chain_edges(nodes: DataFrame, by: list[str], node: str) -> DataFrame:
     return nodes.select(*by, F.col(node).alias("src"), F.explode("children").alias("dst"))
 

@@ -39,8 +39,8 @@ def best_match(queries: DataFrame, goals: DataFrame, query_id: str, query_text:
     """For each query with a match the goal of the highest score, the least goal id among equals: query, goal, n_overlap, score."""
     pairs = overlaps(queries, goals, query_id, query_text, goal_id, goal_text).where(is_match(F.col("n_overlap"), F.col("n_goal")))
     scored = pairs.withColumn("score", match_score(F.col("n_overlap"), F.col("n_goal")))
-    # An aggregate of one struct combines on the map side; a window would have to sort all pairs.
-    best = F.max_by(F.struct("goal", "n_overlap", "score"), F.struct("score", F.negate("goal")))
+    # An aggregate of one struct combines on the map side; a window would have to sort all pairs. Ids of any type have a least one.
+    best = F.min(F.struct(F.negate("score").alias("less"), "goal", "n_overlap", "score"))
     return scored.groupBy("query").agg(best.alias("b")).select("query", "b.goal", "b.n_overlap", "b.score")
 
 
@@ -65,14 +65,60 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest(queries: DataFrame, chunks: DataFrame, query_id: str, query_vec: str, chunk_id: str, vec: str, k: int = 3, where: Column | None = None) -> DataFrame:
     """For each query its k chunks of the highest cosine: query, chunk, similarity, rank.
 
-    A stated, small set of queries meets all chunks, in one pass over them; predicates on chunks come first.
+    A stated set of queries meets all chunks in blocks of about SMALL queries, one pass over the chunks for each; predicates
+    on chunks come first.
     """
-    rows = chunks if where is None else chunks.where(where)
+    rows = (chunks if where is None else chunks.where(where)).select(F.col(chunk_id).alias("chunk"), F.col(vec).alias("cv"))
     q = queries.select(F.col(query_id).alias("query"), F.col(query_vec).alias("qv"))
-    if q.limit(SMALL + 1).count() > SMALL:
-        raise ValueError(f"more than {SMALL} queries; search them in blocks")
-    hits = rows.select(F.col(chunk_id).alias("chunk"), F.col(vec).alias("cv")).join(F.broadcast(q), F.lit(True)).select("query", "chunk", cosine(F.col("qv"), F.col("cv")).alias("similarity"))
-    return top_k(hits.where("similarity is not null"), ["query"], [F.desc("similarity"), F.asc("chunk")], k)
+    blocks = -(-q.count() // SMALL) or 1
+    found = None
+    for i in range(blocks):
+        block = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
+        hits = rows.join(F.broadcast(block), F.lit(True)).select("query", "chunk", cosine(F.col("qv"), F.col("cv")).alias("similarity"))
+        best = top_k(hits.where("similarity is not null"), ["query"], [F.desc("similarity"), F.asc("chunk")], k)
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
+def prior_filter(source_ids: list[str] | None = None, chapter: str | None = None, section_prefix: str | None = None, keywords: list[str] | None = None,
+                 source: str = "source_id", chapter_col: str = "chapter", section: str = "section", text: str = "text") -> Column:
+    """Chunks of the given sources and chapter, whose section is the prefix or below it, and whose text has any keyword; what isn't given holds for all."""
+    tests = [F.lit(True)]
+    if source_ids:
+        tests.append(F.col(source).isin(*source_ids))
+    if chapter:
+        tests.append(F.col(chapter_col) == chapter)
+    if section_prefix:
+        tests.append((F.col(section) == section_prefix) | F.col(section).startswith(section_prefix.rstrip(".") + "."))
+    if keywords:
+        tests.append(F.exists(F.array(*[F.lit(k.lower()) for k in keywords]), lambda k: F.contains(F.lower(F.col(text)), k)))
+    out = tests[0]
+    for t in tests[1:]:
+        out = out & F.coalesce(t, F.lit(False))
+    return out
+
+
+def prior_search(queries: DataFrame, chunks: DataFrame, query_id: str, query_vec: str, top_k_: int = 3, expand: bool = False, as_json: bool = False, **filters) -> DataFrame:
+    """query and answer: the nearest prior chunks(chunk_id, source_id, pos, chapter, section, text, embedding) as text for a prompt or as JSON.
+
+    With expand each hit's text has those of the chunks before and behind it in its source. A query without hits has no row.
+    """
+    hits = nearest(queries, chunks, query_id, query_vec, "chunk_id", "embedding", top_k_, prior_filter(**filters))
+    known = chunks.select(F.col("chunk_id").alias("chunk"), "source_id", "pos", "chapter", "section", "text")
+    rows = hits.join(known, "chunk")
+    if expand:
+        near = known.select(F.col("source_id").alias("_source"), F.col("pos").alias("seq"), F.col("text").alias("_text"))
+        asked = rows.withColumn("seq", F.explode(F.sequence(F.col("pos") - 1, F.col("pos") + 1)))
+        beside = asked.join(near, (asked["source_id"] == near["_source"]) & (asked["seq"] == near["seq"])).drop(near["seq"])
+        rows = beside.groupBy("query", "rank", "chunk", "similarity", "source_id", "chapter", "section").agg(
+            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "_text"))), lambda x: x["_text"]), "\n").alias("text"))  # three at most
+    if as_json:
+        one = F.struct("rank", F.to_json(F.struct("source_id", "chapter", "section", "text")).alias("line"))
+        wrap = lambda x: F.concat(F.lit("["), F.array_join(x, ","), F.lit("]"))
+    else:
+        one = F.struct("rank", F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("source_id"), F.lit(" "), F.coalesce("section", F.lit("")), F.lit("\n"), F.col("text")).alias("line"))
+        wrap = lambda x: F.array_join(x, "\n\n")
+    return rows.groupBy("query").agg(wrap(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["line"])).alias("answer"))  # top_k_ at most
 
 
 def expand_context(hits: DataFrame, chunks: DataFrame, hit_cols: tuple[str, str], chunk_cols: tuple[str, str], width: int = 1) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,42 @@ def default_result(calls: DataFrame, tools: DataFrame, key: str, result: str) ->
         result, F.when(F.col("_known"), F.col(result)).otherwise(F.concat(F.lit("tool "), F.col(key), F.lit(" is not implemented")))).drop("_known")
 
 
+def allowed_tools(tools: DataFrame, server: str, name: str, allow: dict[str, tuple[str, ...]]) -> DataFrame:
+    """Tools without those that a server's allow-list doesn't name; servers without a list offer all."""
+    test = F.lit(True)
+    for s, names in allow.items():
+        test = test & ((F.col(server) != s) | F.col(name).isin(*names))
+    return tools.where(F.coalesce(test, F.lit(True)))
+
+
+def all_tools(*lists: DataFrame) -> DataFrame:
+    """Tool lists one after the other, each with its place as list_pos; a tool that is in several stays in all."""
+    out = None
+    for i, tools in enumerate(lists):
+        rows = tools.withColumn("list_pos", F.lit(i))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def first_result(results: Column | str) -> Column:
+    """The first of a call's results; null for none."""
+    return F.try_element_at(results if isinstance(results, Column) else F.col(results), F.lit(1))
+
+
+def merged(*records: Column) -> Column:
+    """Maps merged key by key; a later one's value wins, null or not."""
+    def over(left: Column, right: Column) -> Column:
+        return F.map_concat(F.map_filter(left, lambda k, v: ~F.map_contains_key(right, k)), right)
+
+    return reduce(over, [F.coalesce(r, F.create_map().cast("map<string,string>")) for r in records])
+
+
+def elapsed_seconds(start: Column, stop: Column) -> Column:
+    """Seconds between two timestamps, with their fractions."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    return (micros(stop) - micros(start)) / F.lit(1e6)
+
+
 def is_terminal(state: Column, sub_stream: Column) -> Column:
     """The end of a session itself; an end inside a sub-stream isn't one."""
     return (state == "end") & (F.coalesce(sub_stream, F.lit("")) == "")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 import traceback
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @dataclass
@@ -48,12 +50,40 @@ class Registry:
         return spark.createDataFrame([(t.name, k, t.description, json.dumps(t.schema)) for k, t in self.tools.items()], "name string, tool_key string, description string, schema string")
 
 
-# Which tools each role may call.
-AGENT_TOOLS = {
-    "solver": ("run_python", "load_skill_specs", "library_search", "library_parse"),
-    "critic": ("library_search", "library_parse", "prior_search"),
-    "supervisor": ("library_search", "library_parse", "prior_search"),
+# The tools' names, each argument's name and type, and which must be given.
+TOOL_ARGUMENTS = {
+    "Python_code_interpreter": ({"code": "string"}, ("code",)),
+    "load_skill_specs": ({"skill_names": "array"}, ("skill_names",)),
+    "library_search": ({"query": "string", "top_k": "integer"}, ("query",)),
+    "library_parse": ({"link": "string", "user_prompt": "string", "llm": "string"}, ("link", "user_prompt")),
+    "prior_search": ({"query": "string", "top_k": "integer", "expand_context": "boolean", "return_format": "string", "source_ids": "array",
+                      "chapter": "string", "section_prefix": "string", "keywords": "array", "rewrite_query": "boolean"}, ("query",)),
 }
+# The tools of each role; the second list is added where the library is on, the third where prior search is.
+ROLE_TOOLS = {
+    "solver": (("Python_code_interpreter", "load_skill_specs"), ("library_search", "library_parse"), ()),
+    "critic": ((), ("library_search", "library_parse"), ("prior_search",)),
+    "supervisor": ((), ("library_search", "library_parse"), ("prior_search",)),
+}
+
+
+def tool_schema(name: str) -> dict:
+    """The JSON schema of a known tool's arguments."""
+    arguments, needed = TOOL_ARGUMENTS[name]
+    kinds = {"array": {"type": "array", "items": {"type": "string"}}}
+    return {"type": "object", "properties": {k: kinds.get(t, {"type": t}) for k, t in arguments.items()}, "required": list(needed)}
+
+
+def role_tools(role: str, library: bool = True, prior: bool = True) -> list[str]:
+    """The names of the tools that a role may call."""
+    own, with_library, with_prior = ROLE_TOOLS[role]
+    return [*own, *(with_library if library else ()), *(with_prior if prior else ())]
+
+
+def tool_frame(spark: SparkSession) -> DataFrame:
+    """role, tool, pos, schema of every role's tools."""
+    rows = [(role, tool, pos, json.dumps(tool_schema(tool))) for role in ROLE_TOOLS for pos, tool in enumerate(role_tools(role))]
+    return spark.createDataFrame(rows, "role string, tool string, pos int, schema string")
 
 
 def tool_loop(model: Callable[[list[dict]], dict], registry: Registry, system: str, user: str, turns: int = 20) -> str:
@@ -70,3 +100,15 @@ def tool_loop(model: Callable[[list[dict]], dict], registry: Registry, system: s
             return messages[-1]["content"]
         messages += [{"role": "tool", "tool_call_id": c["id"], "content": registry.call(c["name"], c.get("arguments") or "")} for c in calls]
     return next((m["content"] for m in reversed(messages) if m["role"] == "assistant" and m["content"].strip()), "")
+
+
+def tool_loops(rows: DataFrame, system: str, user: str, model: Callable[[list[dict]], dict], registry: Callable[[], Registry], turns: int = 20, out: str = "answer") -> DataFrame:
+    """rows with the answer of a tool_loop() for each; registry() makes each worker's tools."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        tools = registry()
+        for systems, users in batches:
+            yield pd.Series([tool_loop(model, tools, s or "", u or "", turns) for s, u in zip(systems, users)])
+
+    return rows.withColumn(out, run(F.col(system), F.col(user)))

@@ -8,7 +8,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from quillspark.scratch import shared_root, write_bytes
+from quillspark.scratch import delete_at_end, shared_root, write_bytes
 
 _shipped: set[str] = set()
 
@@ -25,5 +25,6 @@ def ship_package(spark: SparkSession) -> None:
             out.write(source, source.relative_to(root.parent))
     path = f"{shared_root(spark)}/quillspark-{context.applicationId}.zip"
     write_bytes(spark, path, packed.getvalue())
+    delete_at_end(spark, path)
     context.addPyFile(path)
     _shipped.add(context.applicationId)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions.jsonx import parse_page_answer
-from quillspark.functions.text import FALLBACK_CHUNK_CHARS, first_chunk, html_to_text
-from quillspark.operators.records import is_pdf, route_page
+from quillspark.functions.text import FALLBACK_CHUNK_CHARS, first_chunk, html_to_text, join_pages
+from quillspark.operators.records import is_pdf, require_all, route_page
 
 PAGE_BYTES = 2 * 1024 * 1024  # most bytes of a page that are read
 FAILED_SCORE = -1.0
@@ -44,6 +45,73 @@ def complete(prompts: DataFrame, prompt: str, call: Callable[[str], str], reply:
     return prompts.withColumn(reply, run(F.col(prompt)))
 
 
+def with_timeout(call: Callable[[str], str], seconds: float) -> Callable[[str], str]:
+    """call, or TimeoutError when it takes longer; the call itself goes on in its thread."""
+
+    def run(x: str) -> str:
+        pool = ThreadPoolExecutor(1)
+        try:
+            return pool.submit(call, x).result(seconds)
+        finally:
+            pool.shutdown(wait=False)
+
+    return run
+
+
+def with_rate(call: Callable[[str], str], per_second: float) -> Callable[[str], str]:
+    """call, begun at most so often in each Python worker."""
+    last = [0.0]
+
+    def run(x: str) -> str:
+        wait = last[0] + 1 / per_second - time.monotonic()
+        if wait > 0:
+            time.sleep(wait)
+        last[0] = time.monotonic()
+        return call(x)
+
+    return run
+
+
+def complete_with_fallback(prompts: DataFrame, prompt: str, calls: list[Callable[[str], str]], failed: str | None = None, reply: str = "reply", attempts: int = 1, pause: float = 0.0) -> DataFrame:
+    """prompts with the reply of the first model that gives one; `failed` where none does, also for a null prompt."""
+    asks = [with_retries(c, attempts, pause) for c in calls]
+
+    def first(x: str | None) -> str | None:
+        for ask in asks if x is not None else ():
+            if (answer := ask(x)) is not None:
+                return answer
+        return failed
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(first)
+
+    return prompts.withColumn(reply, run(F.col(prompt)))
+
+
+def call_models(calls: DataFrame, models: DataFrame, model: str = "model") -> DataFrame:
+    """Calls with their model's settings; a model that isn't there is an error."""
+    return require_all(calls, models, model)
+
+
+def pdf_text(files: DataFrame, body: str, pages: Callable[[bytes], list[str]], out: str = "page_text") -> DataFrame:
+    """files with the text of their PDF bodies: pages(bytes), which the caller brings, joined; null where it fails."""
+
+    def read(data: bytes | None) -> list[str] | None:
+        try:
+            return None if data is None else list(pages(bytes(data)))
+        except Exception:  # noqa: BLE001  whatever a reader raises
+            return None
+
+    @F.pandas_udf("array<string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield batch.map(read)
+
+    return files.withColumn(out, join_pages(run(F.col(body))))
+
+
 def prompt_key(c: Column | str) -> Column:
     return F.sha2(c if isinstance(c, Column) else F.col(c), 256)
 

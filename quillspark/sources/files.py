@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.functions.text import strip
+
 try:
     import yaml
 except ImportError:
@@ -43,7 +45,7 @@ def ndjson(lines: DataFrame, schema: str | T.StructType, line: str = "value") ->
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
     with_bad = T.StructType([*kind.fields, T.StructField("_bad", T.StringType())])
     parsed = F.from_json(F.col(line), with_bad, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
-    rows = lines.where(F.trim(F.col(line)) != "").withColumn("_r", parsed)
+    rows = lines.where(strip(line) != "").withColumn("_r", parsed)
     return rows.select(F.col(line).alias("line"), F.struct(*[F.col(f"_r.{f.name}") for f in kind.fields]).alias("record"), F.col("_r._bad").isNotNull().alias("bad"))
 
 
@@ -64,6 +66,16 @@ def write_contracts(contracts: DataFrame, path: str) -> None:
     contracts.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_node_folders(nodes: DataFrame, path: str, node: str = "node_id") -> None:
+    """The rows of each node as JSON lines in a folder of its own below path."""
+    nodes.repartition(node).write.mode("overwrite").option("ignoreNullFields", False).partitionBy(node).json(path)
+
+
+def append_items(items: DataFrame, path: str) -> None:
+    """items(session_id, item) appended as JSON lines to the folder that a stream reads: a session's queue."""
+    items.select(F.to_json(F.struct("session_id", "item"), {"ignoreNullFields": "false"}).alias("value")).write.mode("append").text(path)
+
+
 def with_final_newline(c: str):
     return F.when(F.col(c).endswith("\n"), F.col(c)).otherwise(F.concat(F.col(c), F.lit("\n")))
 

@@ -52,16 +52,15 @@ def open_sessions(events: DataFrame, session: str, seq: str, value: str, termina
     ship_package(events.sparkSession)
 
     def walk(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ended = state.exists and state.get[0]
+        before = bool(state.exists and state.get[0])
         rows = pd.concat(list(batches)).sort_values(seq, kind="stable")  # one session's events of one micro-batch
-        keep = []
-        for t, r in zip(rows[terminal], rows["reset"] if has_reset else [False] * len(rows)):
-            if r:
-                ended = False
-            keep.append(not r and not ended)
-            ended = ended or bool(t)
-        state.update((bool(ended),))
-        out = rows[keep]
+        end = rows[terminal].fillna(False).astype(bool)
+        reset = rows["reset"].fillna(False).astype(bool) if has_reset else pd.Series(False, rows.index)
+        part = reset.cumsum().to_numpy()  # a reset begins a new part; the flag from before holds for part 0
+        ends = end.astype(int).groupby(part).cumsum()
+        ended = (ends - end.astype(int) > 0).to_numpy() | ((part == 0) & before)
+        state.update((bool(ends.iloc[-1] > 0 or (part[-1] == 0 and before)),))
+        out = rows[~reset.to_numpy() & ~ended]
         yield pd.DataFrame({session: out[session], seq: out[seq], value: out[value]})
 
     chosen = events.select(session, seq, value, terminal, *(["reset"] if has_reset else []))
@@ -77,3 +76,8 @@ def run_available(stream: DataFrame, name: str, checkpoint: str | None = None) -
     finally:
         query.stop()
     return stream.sparkSession.table(name)
+
+
+def drain(stream: DataFrame, out: str, checkpoint: str) -> None:
+    """Append all that is there now to Parquet files below out; what a checkpoint has seen is not read again."""
+    stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", out).trigger(availableNow=True).start().awaitTermination()
