@@ -79,7 +79,7 @@ round(0.12::DOUBLE + 0.16::DOUBLE * depth, 9) AS viz_y FROM d""",
     "shorten": f"""SELECT doc_id, CASE WHEN length(text) <= 400 THEN text ELSE substr(text, 1, 200) || chr(10) || '... [truncated] ...' || chr(10) || right(text, 200) END AS middle,
 CASE WHEN length(l) > 280 THEN substr(l, 1, 280) || '...' ELSE l END AS summary, CASE WHEN length(l) > 240 THEN substr(l, 1, 237) || '...' ELSE l END AS goal
 FROM (SELECT doc_id, text, {_one_line('text')} AS l FROM documents)""",
-    "clean_text": rf"""SELECT doc_id, {_strip("(chr(10) || chr(10) || chr(9) || ' ' || text || ' ' || chr(10))")} AS stripped, regexp_replace(substr(text, 1, 60), '[^\p{{L}}\p{{N}}._-]', '_', 'g') AS name,
+    "clean_text": rf"""SELECT doc_id, {_strip("(chr(10) || chr(10) || chr(9) || ' ' || text || ' ' || chr(10))")} AS stripped, regexp_replace(text, '[^\p{{L}}\p{{N}}._-]', '_', 'g') AS name,
 lang AS thought, CASE WHEN lang <> 'en' AND lang <> '' THEN lang ELSE source END AS filled, '{{' || lang || '}} from ' || source AS filled_template FROM documents""",
     "chunk_documents": "SELECT doc_id, pos, substr(text, pos * 500 + 1, 500) AS chunk FROM (SELECT doc_id, text, unnest(range(0, ceil(length(text) / 500)::BIGINT)) AS pos FROM documents WHERE length(text) > 0)",
     "first_chunks": "SELECT doc_id, nullif(substr(text, 1, 20000), '') AS chunk FROM documents",
@@ -117,7 +117,7 @@ replace(url, 'arxiv.org/abs/', 'arxiv.org/pdf/') AS fetched, regexp_replace(stri
     "ndjson_ingest": """SELECT CASE WHEN (conv_id + turn) % 10 <> 0 THEN role END AS role, (conv_id + turn) % 10 = 0 AS bad, count(*) AS n FROM conversations GROUP BY ALL""",
     "format_hits": f"""WITH {_PAIRS},
 t AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY n_overlap DESC, doc_id) AS rank FROM pairs QUALIFY rank <= 10)
-SELECT item_id, string_agg(rank || '. doc ' || doc_id || chr(10) || 'URL: ' || source || chr(10) || substr(text, 1, 80), chr(10) ORDER BY rank) AS block FROM t JOIN documents USING (doc_id) GROUP BY item_id""",
+SELECT item_id, string_agg(rank || '. doc ' || doc_id || chr(10) || 'URL: ' || source || chr(10) || text, chr(10) ORDER BY rank) AS block FROM t JOIN documents USING (doc_id) GROUP BY item_id""",
     "flatten_text": "SELECT event_id, 'type: ' || event_type || '; items: a ' || event_id || '; who: user: ' || user_id AS flat FROM events",
     "last_assistant": "SELECT conv_id, max(turn) AS turn, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' AND trim(coalesce(text, '')) <> '' GROUP BY conv_id",
     "contract_subtasks": """WITH d AS (SELECT doc_id, source, lang, doc_id % 4 AS k FROM documents)

@@ -6,7 +6,6 @@ events for attempt logs and session streams, conversations for trajectories, pag
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import jsonx, text
 from quillspark.operators import contracts, graphs, matching, records, refine
-from quillspark.scratch import shared_root
+from quillspark.scratch import scratch_folder
 from quillspark.sources import external, files
 from quillspark.streaming import sessions
 
@@ -93,12 +92,15 @@ def sibling_layout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def viewer_payload(spark: SparkSession, d: str) -> DataFrame:
-    """The viewer's payload of each conversation; attempts are its turns."""
+    """The viewer's payload of each conversation, read back from its JSON; attempts are its turns."""
     turns = _read(spark, d, "conversations").select(F.col("conv_id").alias("task"), F.col("turn").alias("node_id"), F.col("turn").alias("subtask_id"), F.col("text").alias("description"), F.lit("").alias("memory"),
                                                     F.col("text").alias("theoretician_output"), F.lit(0.5).alias("reward"), F.lit(None).cast("string").alias("node_type"), F.col("role").alias("evaluation"), F.lit("").alias("critic_feedback"))
     nodes = graphs.chain_layout(graphs.chain(turns, ["task"], "node_id", "node_id"), ["task"], "node_id")
     tasks = turns.groupBy("task").agg(F.min_by("description", "node_id").alias("task_description")).withColumn("summary", F.lit(""))
-    return graphs.payload(graphs.viewer_nodes(nodes), graphs.chain_edges(nodes, ["task"], "node_id"), tasks)
+    payloads = graphs.payload(graphs.viewer_nodes(nodes), graphs.chain_edges(nodes, ["task"], "node_id"), tasks)
+    shape = "task_description string, root_id long, nodes array<struct<node_id: long, depth: int, critic_feedback: string, description: string, viz_y: double>>, edges array<array<long>>"
+    read = payloads.select("task", F.from_json("payload", shape).alias("p")).select("task", "p.task_description", "p.root_id", F.size("p.edges").cast("long").alias("n_edges"), F.explode("p.nodes").alias("n"))
+    return read.select("task", "task_description", "root_id", "n.node_id", "n.depth", "n.critic_feedback", F.md5("n.description").alias("description"), F.round("n.viz_y", 9).alias("viz_y"), "n_edges")
 
 
 def shorten(spark: SparkSession, d: str) -> DataFrame:
@@ -109,7 +111,7 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
     """String functions over documents and their sources."""
     docs = _read(spark, d, "documents")
     wrapped = F.concat(F.lit("\n\t "), F.col("text"), F.lit(" \n"))
-    return docs.select("doc_id", text.strip(wrapped).alias("stripped"), text.safe_name(F.substring("text", 1, 60)).alias("name"),
+    return docs.select("doc_id", text.strip(wrapped).alias("stripped"), text.safe_name("text").alias("name"),
                        text.after_thinking(F.concat(F.col("source"), F.lit("</think>a</think>"), F.col("lang"))).alias("thought"),
                        text.coalesce_filled(F.when(F.col("lang") == "en", "").otherwise(F.col("lang")), F.col("source")).alias("filled"),
                        text.fill_template("{{{lang}}} from {source}", lang="lang", source="source").alias("filled_template"))
@@ -166,7 +168,7 @@ def take_until_terminal(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scratch(spark: SparkSession) -> str:
-    return f"{shared_root(spark)}/streams-{uuid.uuid4().hex}"
+    return scratch_folder(spark, "streams")
 
 
 def session_stream(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +211,7 @@ def tool_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 def prior_topk(spark: SparkSession, d: str) -> DataFrame:
-    """The three nearest chunks of other vectors for every fiftieth vector, all labels searched but one."""
+    """The four nearest chunks for every fiftieth vector, itself left out, all labels searched but one."""
     chunks = _read(spark, d, "embeddings")
     hits = matching.nearest(chunks.where("vec_id % 50 = 0"), chunks, "vec_id", "embedding", "vec_id", "embedding", 4, where=F.col("label") != 0)
     return hits.where("query <> chunk").select("query", "chunk", F.round("similarity", 6).alias("similarity"))
@@ -250,7 +252,7 @@ def ndjson_ingest(spark: SparkSession, d: str) -> DataFrame:
 
 def format_hits(spark: SparkSession, d: str) -> DataFrame:
     """The ten documents of each item as numbered blocks."""
-    docs = _read(spark, d, "documents").select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("link"), F.substring("text", 1, 80).alias("snippet"))
+    docs = _read(spark, d, "documents").select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("link"), F.col("text").alias("snippet"))
     hits = search_topk(spark, d).join(docs, "doc_id")
     lists = hits.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title", "link", F.lit("").alias("text"), "snippet"))), lambda x: x.dropFields("rank")).alias("hits"))
     return lists.select("item_id", text.format_hits("hits").alias("block"))

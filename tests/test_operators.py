@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -334,3 +335,80 @@ def test_stream_items(spark):
     made = spark.range(1).select(sessions.start_item().alias("s"), sessions.end_item().alias("e"), sessions.code_result_item(F.lit("4")).alias("c")).first()
     assert made["s"]["stream_state"] == "start" and made["c"]["content"] == "4"
     assert spark.range(1).select(records.is_terminal(F.lit(made["e"]["stream_state"]), F.lit(made["e"]["sub_stream_type"]))).first()[0] is True
+
+
+def test_best_match_of_any_ids(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma"), (2, "delta")], "id int, text string")
+    goals = spark.createDataFrame([("b.yaml", "alpha beta"), ("a.yaml", "beta alpha"), ("c.yaml", "nothing")], "path string, text string")
+    assert [tuple(r)[:3] for r in matching.best_match(docs, goals, "id", "text", "path", "text").collect()] == [(1, "a.yaml", 2)]
+
+
+def test_blank_lines_of_any_kind_are_no_records(spark):
+    parsed = files.ndjson(spark.createDataFrame([("\t",), (" \r",), ('{"a": 1}',)], "value string"), "a int")
+    assert [(r["record"]["a"], r["bad"]) for r in parsed.collect()] == [(1, False)]
+
+
+def test_nearest_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(40)], "id int, v array<double>")
+    whole = sorted(tuple(r) for r in matching.nearest(rows, rows, "id", "v", "id", "v").collect())
+    monkeypatch.setattr(matching, "SMALL", 9)
+    assert sorted(tuple(r) for r in matching.nearest(rows, rows, "id", "v", "id", "v").collect()) == whole
+    assert matching.nearest(rows.limit(0), rows, "id", "v", "id", "v").count() == 0
+
+
+def test_prior_search_formats_and_filters(spark):
+    chunks = spark.createDataFrame([(1, "s", 1, "c", "2.1", "One here", [1.0, 0.0]), (2, "s", 2, "c", "2.10", "two", [1.0, 0.1]), (3, "t", 1, None, "21", "three", [0.9, 0.0])],
+                                   "chunk_id int, source_id string, pos int, chapter string, section string, text string, embedding array<double>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], "q int, v array<double>")
+    found = lambda **f: [r["answer"] for r in matching.prior_search(asked, chunks, "q", "v", **f).collect()]
+    assert found(section_prefix="2.1") == ["[1] s 2.1\nOne here"] and found(section_prefix="2", chapter="c", keywords=["ONE", "x"], expand=True) == ["[1] s 2.1\nOne here\ntwo"]
+    assert json.loads(found(as_json=True, top_k_=1, source_ids=["t"])[0]) == [{"source_id": "t", "section": "21", "text": "three"}] and found(chapter="none") == []
+
+
+def test_calls_with_limits():
+    slow = external.with_timeout(lambda x: time.sleep(1.0) or x, 0.05)
+    with pytest.raises(TimeoutError):
+        slow("a")
+    assert external.with_timeout(str.upper, 5)("a") == "A"
+    paced = external.with_rate(str.upper, 50)
+    began = time.monotonic()
+    assert [paced(x) for x in "abcd"] == list("ABCD") and time.monotonic() - began >= 0.055
+
+
+def test_missing_model_is_an_error(spark):
+    calls = spark.createDataFrame([("m",), ("n",)], "model string")
+    with pytest.raises(LookupError, match="n"):
+        external.call_models(calls, spark.createDataFrame([("m", 1)], "model string, window int"))
+
+
+def test_tool_schemas():
+    assert tools.role_tools("solver") == ["Python_code_interpreter", "load_skill_specs", "library_search", "library_parse"] and tools.role_tools("critic", library=False) == ["prior_search"]
+    assert tools.tool_schema("load_skill_specs") == {"type": "object", "properties": {"skill_names": {"type": "array", "items": {"type": "string"}}}, "required": ["skill_names"]}
+
+
+@pytest.mark.parametrize("scope,want", [('["a", "b"]', "    - a\n    - b"), ('"one"', "    - one"), ("7", "    - 7"), ("null", ""), ('""', ""), (None, ""), ("[]", "")])
+def test_scope_lines(spark, scope, want):
+    assert one(spark, text.scope_lines("t"), t=scope) == want
+
+
+def test_repaired_subtasks_are_in_order(spark):
+    rows = spark.createDataFrame([("t", 0, 5, "e"), ("t", 1, None, " "), ("t", 2, 2, "b"), ("t", 3, 6, "c")], "task string, pos int, id int, description string")
+    got = sorted((r["place"], r["pos"], r["id"], r["description"]) for r in contracts.repair_subtasks(rows).collect())
+    assert got == [(0, 2, 2, "b"), (1, 0, 5, "e"), (2, 1, 6, "Subtask 6"), (3, 3, 7, "c")]
+
+
+def test_live_loop_falls_back(spark, tmp_path):
+    tasks = spark.createDataFrame([("t", 1, "do it")], "task string, subtask int, description string")
+    seen = []
+
+    def store(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        out = spark.read.parquet(f"{tmp_path}/{name}")
+        seen.extend((r["description"], r["result"]) for r in out.collect())
+        return out
+
+    describe = lambda df: df.withColumn("generated", F.lit("  "))
+    solve = lambda df: df.withColumn("result", F.lit(None).cast("string")).withColumn("error", F.lit("no tool"))
+    critique = lambda df: df.withColumn("decision", F.lit("complete")).withColumn("reward", F.lit(0.0)).withColumn("summary", F.lit(""))
+    refine.run_live(tasks, solve, critique, 1, store, describe)
+    assert seen == [("do it", '{"error":"no tool"}')]
