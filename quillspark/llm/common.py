@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from quillspark.scratch import shared_root
+from quillspark.scratch import delete_at_end, shared_root
 from quillspark.shipping import ship_package
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -27,10 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back, which cuts the lineage.
 
-    The files outlive lost executors, and every later use reads one and the same set of rows.
+    The files outlive lost executors, and every later use reads one and the same set of rows. What discard() leaves goes when the application ends.
     """
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -38,6 +39,7 @@ def materialized_parts(df: DataFrame, name: str, column: str) -> str:
     """Write df to the shared folder, with a folder for each value of a column, to be read and deleted by itself; the path."""
     path = f"{shared_root(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(column).parquet(path)
+    delete_at_end(df.sparkSession, path)
     return path
 
 
