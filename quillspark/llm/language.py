@@ -6,12 +6,13 @@ each language's back-off weight. A text goes to the language with the lowest cro
 character. The rejection limit is calibrated on rows that the counts never saw: a text is rejected if
 its cross-entropy lies further above its language's than that of any calibration text, with a margin.
 
-The models learn from a bounded sample of the labelled rows (`per_language`, by hash of the id) and are
+The models learn from a bounded sample of the distinct labelled texts (`per_language`, by hash of the text) and are
 small; every row is then predicted from its whole text alone.
 
 Edge cases: a null text and a text without letters give `und`, score 0, and are rejected; with no
 learned language everything is `und`; repeated rows give repeated results; ties go to the first
-language in alphabetical order; columns other than id, text and label are not read.
+language in alphabetical order; an empty table gives an empty result; very long texts are read whole, in blocks of symbols; columns other
+than text and label are not read, and one that is kept and named like an added column is replaced.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import fold, map_columns, materialize, table, with_fields
+from quillspark.llm.common import fold, fresh, map_columns, materialize, table, with_fields, without
 
 ORDER = 4
 UNKNOWN = "und"
@@ -213,7 +214,8 @@ def calibrate(model: Model, langs: list[str], h: np.ndarray, n: np.ndarray, marg
     for j in range(k):
         own = lowest[best == j]
         if len(own) >= 20:
-            mean[j], spread[j] = own.mean(), max(own.std(), 0.05)
+            # Rare texts of one language, as mixed ones, may be missing here: they spread as those of all languages do.
+            mean[j], spread[j] = own.mean(), max(own.std(), spread[j])
     out = Calibration(mean, spread, 6.0, 10.0)
     if len(h):
         out.furthest = max(6.0, margin * float(out.distance(best, lowest, n).max()))
@@ -224,20 +226,20 @@ def calibrate(model: Model, langs: list[str], h: np.ndarray, n: np.ndarray, marg
     return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 3000) -> tuple[Model, Calibration] | None:
-    """Models and calibration from a hash sample of about per_language rows of each language; a fifth of it calibrates.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 3000) -> tuple[Model, Calibration] | None:
+    """Models and calibration from a hash sample of about per_language distinct texts of each language; a fifth of it calibrates.
 
-    docs has the rows that may be learned from. None if no row has a language and a text.
+    docs has the rows that may be learned from; ids are not read, so null and repeated ones change nothing. None if no row has a language and a text.
     """
     spark = docs.sparkSession
-    labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    labelled = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.xxhash64(text_col).alias("name"), F.col(lang_col).cast("string").alias("lang"))
+    sizes = {r["lang"]: r["count"] for r in labelled.select("lang", "name").distinct().groupBy("lang").count().collect()}  # a row for each language
     if not sizes:
         return None
     share = F.create_map(*[F.lit(x) for k, v in sizes.items() for x in (k, min(1.0, per_language / v))])
-    draw = F.shiftrightunsigned(F.xxhash64(F.coalesce("id", F.lit("")), F.lit("sample")), 33) / F.lit(float(2**31))
-    sample = materialize(labelled.where(F.col("text").isNotNull() & (draw < share[F.col("lang")]))
-                         .select("text", "lang", (fold("id", 5) == 4).alias("aside")), "language-sample")
+    draw = F.shiftrightunsigned(F.xxhash64("name", F.lit("sample")), 33) / F.lit(float(2**31))
+    sample = materialize(labelled.where(draw < share[F.col("lang")]).dropDuplicates(["lang", "name"])
+                         .select("text", "lang", (fold("name", 5) == 4).alias("aside")), "language-sample")
 
     def count(texts: list, langs: list) -> list:
         out: list[list] = [[], [], []]
@@ -266,11 +268,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def predict(docs: DataFrame, trained: tuple[Model, Calibration] | None, keep: list[str | Column], text_col: str = "text") -> DataFrame:
-    """The columns of keep, then lang_pred, score, entropy (natural, per symbol) and rejected.
-
-    keep must not name the added columns.
-    """
-    kept = docs.select(*keep)
+    """The columns of keep, then lang_pred, score, entropy (natural, per symbol) and rejected; one of keep with such a name is replaced."""
+    added = ("lang_pred", "score", "entropy", "rejected")
+    kept = without(docs.select(*keep), *added)
+    text, = fresh(kept, "text_to_judge")
     shared = docs.sparkSession.sparkContext.broadcast(trained)
     width = len(kept.columns)
 
@@ -286,7 +287,7 @@ def predict(docs: DataFrame, trained: tuple[Model, Calibration] | None, keep: li
         score = np.where(n > 0, _confidence(h, limits.scale), 0.0)
         return [*columns[:width], langs, score.tolist(), [float(x) if k else None for x, k in zip(low, n)], odd.tolist()]
 
-    return map_columns(docs.select(*keep, F.col(text_col).alias("_text_to_judge")), decide,
+    return map_columns(without(docs.select(*keep, F.col(text_col).alias(text)), *added), decide,
                        with_fields(kept, "lang_pred string, score double, entropy double, rejected boolean"))
 
 
