@@ -1,18 +1,19 @@
 """Benchmark decontamination by a positional inverted index: native DataFrame operations only.
 
 The words of all documents are counted. Every window of ten words of a benchmark item picks its rarest
-two words by those counts, and the positions of the picked words in all documents are written as
+words by those counts, `lists` of them, and the positions of the picked words in all documents are written as
 postings, with the words around each. A window's candidates are where the postings of its rarest word,
-moved back by the word's offset, meet those of the second; what remains is compared word by word with
-the window, so matches are exact. proximity_matches() asks the same postings for items whose picked
-words stand close together in any order.
+moved back by the word's offset, meet those of the second, and those the next one's if there are more lists; what remains is compared word by word with
+the window, so matches are exact. Two lists leave next to nothing to compare in vain, and each further one is of words that are more frequent by far. proximity_matches() asks the same postings for windows whose two rarest
+words stand within any distance of each other, in any order.
 
 Only tables that grow with the benchmark, not with the documents, are broadcast, and only up to
 `broadcast_rows`; beyond, Spark joins them by shuffle.
 
 Edge cases: null and empty texts have no words; an item without words has no window, one of fewer than
 ten words is one window; repeated rows and ids are results of their own, keyed by id and text; a null
-item id counts as the empty text; other columns are not read, whatever their names.
+item id counts as the empty text; words that tie in count are picked by their text; very long texts are split whole, a row at a
+time; empty tables give empty results, or no hits; other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -55,13 +56,13 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 class PositionalIndex:
     """Postings of the benchmark windows' rarest words in docs.
 
-    windows: window, terms. picks: window, rank (1: rarest), key (of the word), offset (from 0). postings: doc, sum
+    windows: window, terms. picks: window, rank (1: rarest, at most `lists`), key (of the word), offset (from 0). postings: doc, sum
     (hash of the text), key, pos (from 0), around (words from `width - 1` before to as many after), lead (words before).
     """
 
     def __init__(self, docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 item_id_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, broadcast_rows: int = 200_000):
-        self.rows, self.width = broadcast_rows, width
+                 item_id_col: str = "item_id", item_text_col: str = "text", width: int = WINDOW, broadcast_rows: int = 200_000, lists: int = 2):
+        self.rows, self.width, self.lists = broadcast_rows, width, lists
         self.items = materialize(item_windows(benchmark, item_id_col, item_text_col, width), "benchmark-windows")
         self.windows = self.items.select("window", "terms").distinct()
         self.docs = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sum"), words_of(text_col).alias("w"))
@@ -70,7 +71,7 @@ class PositionalIndex:
         counts = self.docs.select(F.explode_outer("w").alias("term")).select(key_of("term").alias("key")).join(_small(keys, broadcast_rows), "key", "left_semi").groupBy("key").count()
         placed = self.windows.select("window", F.posexplode("terms").alias("offset", "term")).withColumn("key", key_of("term")).join(counts, "key", "left")
         rarest = Window.partitionBy("window").orderBy(F.coalesce("count", F.lit(0)), "term", "offset")
-        self.picks = materialize(placed.withColumn("rank", F.row_number().over(rarest)).where("rank <= 2").select("window", "rank", "key", "offset"), "benchmark-picks")
+        self.picks = materialize(placed.withColumn("rank", F.row_number().over(rarest)).where(F.col("rank") <= lists).select("window", "rank", "key", "offset"), "benchmark-picks")
         picked = self.picks.select("key").distinct()
         near = width - 1
         found = (
@@ -90,26 +91,31 @@ class PositionalIndex:
 
     def phrase_matches(self) -> DataFrame:
         """doc, sum, window, start and length (in words) of each exact occurrence, once."""
-        first = self._starts(1, "around", "lead")
-        second = self._starts(2).select("doc", "sum", "window", "start")
-        pairs = self.windows.where(F.size("terms") > 1).select("window")
-        # A window of one word has no second list to meet.
-        met = first.join(second, [first["doc"].eqNullSafe(second["doc"]), first["sum"] == second["sum"], first["window"] == second["window"], first["start"] == second["start"]], "left_semi")
-        alone = first.join(_small(pairs, self.rows), "window", "left_anti").select(*met.columns)
+        found = self._starts(1, "around", "lead")
+        columns = found.columns
+        for rank in range(2, self.lists + 1):
+            there = self._starts(rank).select("doc", "sum", "window", "start")
+            met = found.join(there, [found["doc"].eqNullSafe(there["doc"]), found["sum"] == there["sum"], found["window"] == there["window"], found["start"] == there["start"]], "left_semi")
+            # Windows of fewer words have no such list to meet.
+            short = _small(self.windows.where(F.size("terms") < rank).select("window"), self.rows)
+            found = met.unionByName(found.join(short, "window", "left_semi").select(*columns))
         slice_ = F.slice("around", F.col("lead") - F.col("offset") + 1, F.size(F.split("window", " ")))
         same = (F.col("lead") >= F.col("offset")) & (ascii_lower(F.array_join(F.when(F.col("lead") >= F.col("offset"), slice_), " ")) == F.col("window"))
-        return met.unionByName(alone).where(same).select("doc", "sum", "window", "start", F.size(F.split("window", " ")).alias("length")).distinct()
+        return found.where(same).select("doc", "sum", "window", "start", F.size(F.split("window", " ")).alias("length")).distinct()
 
     def proximity_matches(self, within: int = WINDOW) -> DataFrame:
-        """doc, sum, window, pos: the window's rarest word stands at pos, its second at most `within` words away."""
-        # Only words up to width - 1 away are in the postings' surroundings.
-        if within >= self.width:
-            within = self.width - 1
-        second = self.picks.where("rank = 2").select("window", F.col("key").alias("other"))
-        first = self.postings.join(_small(self.picks.where("rank = 1").select("window", "key").join(second, "window"), self.rows), "key")
-        begin = F.greatest(F.col("lead") - F.lit(within - 1), F.lit(1))
-        at = F.array_position(F.transform(F.slice("around", begin, F.col("lead") + F.lit(within + 2) - begin), key_of), F.col("other"))
-        return first.where(at > 0).select("doc", "sum", "window", "pos").distinct()
+        """doc, sum, window, pos: the window's rarest word stands at pos, its second, another word of the text, at most `within` words away.
+
+        Positions meet by stretches of within + 1 words, so that a word that a text repeats everywhere meets its neighbours alone.
+        """
+        def places(rank: int) -> DataFrame:
+            picks = self.picks.where(F.col("rank") == rank).select("window", "key")
+            return self.postings.join(_small(picks, self.rows), "key").select("doc", "sum", "window", "pos", F.floor(F.col("pos") / F.lit(within + 1)).alias("stretch"))
+
+        first = places(1).withColumn("stretch", F.explode(F.sequence(F.col("stretch") - 1, F.col("stretch") + 1)))
+        second = places(2).select("doc", "sum", "window", F.col("pos").alias("other"), "stretch")
+        near = [first["doc"].eqNullSafe(second["doc"]), *[first[c] == second[c] for c in ("sum", "window", "stretch")], F.abs(first["pos"] - second["other"]).between(1, within)]
+        return first.join(second, near, "left_semi").select("doc", "sum", "window", "pos").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WINDOW,
