@@ -3,15 +3,15 @@
 A section ends with a blank line or before a line that starts with #; a paragraph is a line; a leaf is
 a run of words that ends where the hash of a word says so, so that an edit moves no boundary but its
 own. Each node's hash covers its children's; the root covers every character. The fingerprint is the
-root and the short hashes of all leaves, grouped by paragraph and section, so two fingerprints
-tell whether texts are equal, how alike they are and which branches differ.
+root and the short hashes of all leaves, grouped by paragraph and section. tree() makes the inner hashes anew from these, and
+so two fingerprints tell whether texts are equal, how alike they are and, by a walk from the roots, which branches differ.
 
 next_by_id() pairs each row with the next in order of id. The rows are range partitioned and sorted
 once; only the first and last row of each partition meet again, in a join of that many rows.
 
 Edge cases: a null text is the empty text, whose tree has no leaves; repeated ids are ordered by the
-hash of their text; a single row is its own next; an empty table gives an empty result; columns other
-than id and text are not read.
+hash of their text, rows that repeat both in any order; a null id comes first; a single row is its own next; an empty table gives an
+empty result; very long texts are read whole, one at a time; columns other than id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
+from difflib import SequenceMatcher
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -94,19 +96,49 @@ def likeness(a: str, b: str) -> float:
     return 2 * (in_a & in_b).total() / max(1, in_a.total() + in_b.total())
 
 
-def differing_branches(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of a, from 0, whose leaves are in no paragraph of b, in order; none for equal roots."""
-    if a.partition(":")[0] == b.partition(":")[0]:
-        return []
-    known = Counter(re.split(r"[/|]", b.partition(":")[2]))
-    out = []
-    for i, section in enumerate(a.partition(":")[2].split("|")):
-        for j, paragraph in enumerate(section.split("/")):
-            if known[paragraph]:
-                known[paragraph] -= 1
-            else:
-                out.append((i, j))
-    return out
+@dataclass(frozen=True)
+class Node:
+    """A branch of a tree: the hash of its children's, or a leaf's own short hash."""
+
+    hash: bytes
+    children: tuple[Node, ...] = ()
+
+
+def tree(print_: str) -> Node:
+    """The Merkle tree of a fingerprint: sections, paragraphs and leaves, each inner hash made of the hashes below it."""
+    root, _, rest = print_.partition(":")
+    above = lambda level, nodes: Node(_hash(level, b"".join(n.hash for n in nodes)), tuple(nodes))
+    leaves = lambda p: [Node(p[i:i + 4].encode()) for i in range(0, len(p), 4)]
+    found = [above(b"section", [above(b"paragraph", leaves(p)) for p in section.split("/")]) for section in rest.split("|")] if rest else []
+    return Node(bytes.fromhex(root), tuple(found))
+
+
+def _differ(a: Node, b: Node | None, path: tuple[int, ...], depth: int) -> Iterator[tuple[int, ...]]:
+    """Paths, of `depth` steps at most, of the least branches below a that have no equal in their place in b. Branches of equal hash are not entered."""
+    if b is not None and a.hash == b.hash:
+        return
+    if len(path) == depth or not a.children:
+        yield path
+        return
+    if b is None or not b.children:
+        for i, child in enumerate(a.children):
+            yield from _differ(child, None, (*path, i), depth)
+        return
+    matcher = SequenceMatcher(None, [x.hash for x in a.children], [x.hash for x in b.children], autojunk=False)
+    for kind, i0, i1, j0, j1 in matcher.get_opcodes():
+        if kind != "equal":
+            for i in range(i0, i1):
+                yield from _differ(a.children[i], b.children[j0 + i - i0] if j0 + i - i0 < j1 else None, (*path, i), depth)
+
+
+def differing_branches(a: str, b: str, depth: int = 2) -> list[tuple[int, ...]]:
+    """The branches of a that locate an edit, by a walk down from the roots: (section, paragraph) from 0, or with a depth of 3 (section, paragraph, leaf).
+
+    None for equal roots; only branches whose hashes differ are entered. A branch that is whole in b, if at another place among
+    its siblings, doesn't differ; what only b has is in differing_branches(b, a).
+    """
+    x, y = tree(a), tree(b)
+    return [] if x.hash == y.hash else list(_differ(x, y, (), depth))
 
 
 def edited(text: str, following: str) -> str:
