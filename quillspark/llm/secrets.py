@@ -3,11 +3,12 @@
 The base patterns find assignments, access keys and long hex strings. The method adds `novel` spans:
 every long token with a sensitive word in the text on either side is compressed behind its surroundings,
 by a compressor whose dictionary holds common identifiers; the bytes that the token adds tell how much of
-it neither the surroundings nor the dictionary explain. A token whose bytes hardly compress is a span; one
-that does not mix letters and digits, as most identifiers, has to compress even less.
+it neither the surroundings nor the dictionary explain. A token whose bytes hardly compress is a span, whatever characters it is
+made of: random ones add all their bytes, words and identifiers about half of them.
 
-Edge cases: a null or empty text has no spans; texts are scanned whole, each by itself, so repeated
-rows give repeated results; other columns of the input are not read.
+Edge cases: a null or empty text has no spans; very long texts are scanned whole, one at a time; each text is scanned by itself, so repeated
+rows and ids give repeated results; spans that start together are in the order of their kinds, and a token that reaches its limit just
+so is a span; an empty table gives an empty result; other columns of the input are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.common import map_columns, table
@@ -49,22 +49,22 @@ IDENTIFIERS = (
 @dataclass(frozen=True)
 class Limits:
     """around: characters of surroundings on either side, searched for a sensitive word too; share: least added bytes for
-    each byte of a token of letters and digits; plain_share: the same for other tokens; least: least added
-    bytes; enough: added bytes that do at any length."""
+    each byte of a token; least: least added bytes; enough: added bytes that do at any length."""
 
     around: int = 160
-    share: float = 0.55
-    plain_share: float = 0.85
+    share: float = 0.8
     least: int = 11
     enough: int = 48
 
     def bar(self, token: str) -> float:
         """Added bytes that make a token a span."""
-        return max(self.least, min(self.enough, (self.share if _mixed(token) else self.plain_share) * len(token)))
+        return max(self.least, min(self.enough, self.share * len(token)))
 
 
 @lru_cache(maxsize=1)
-def _compressor() -> zstandard.ZstdCompressor:
+def _compressor():
+    import zstandard  # here, so that a missing module fails this operator alone, and loudly
+
     words = " ".join(IDENTIFIERS).encode()
     return zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
                                     write_content_size=False, write_checksum=False, write_dict_id=False)
@@ -77,11 +77,6 @@ def novelty(before: str, token: str, after: str) -> int:
     return len(pack(around + token.encode())) - len(pack(around))
 
 
-def _mixed(token: str) -> bool:
-    digits = sum(c.isdigit() for c in token)
-    return digits >= 3 and any(c.isalpha() for c in token) and len(set(token)) >= 8
-
-
 def scan(text: str | None, limits: Limits = Limits()) -> list[tuple[int, int, int, int]]:
     """(start, index in KINDS, end, added bytes or -1) of each span, by start, then kind."""
     if not text:
