@@ -383,9 +383,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     of_class = classes.join(labels.withColumnRenamed("node", "at"), F.col("node") == F.col("at"), "left").select(
         F.col("set_a").alias("ca"), F.col("set_b").alias("cb"), F.coalesce("component", "node").alias("component"))
-    mine_ = sketches.join(of_class, (F.col("set_a") == F.col("ca")) & (F.col("set_b") == F.col("cb")) & (F.col("n_shingles") > 0), "left")
-    component = F.coalesce(F.col("component"), F.col("doc_id"))
-    return mine_.select(F.col("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "spot")
+    full = sketches.where("n_shingles > 0").join(of_class, (F.col("set_a") == F.col("ca")) & (F.col("set_b") == F.col("cb")), "left")
+    # Empty sets, which may be many, all have one hash, so they are in no join.
+    every = full.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "spot").unionByName(
+        sketches.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "spot"))
+    return every.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"), "spot")
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
@@ -402,3 +404,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all documents, at a similarity of 0.85."""
     return near_duplicates(table(spark, sf_dir, "documents"), s=Settings(percent=85)).drop("spot")
+
+
+OP5_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN []::VARCHAR[] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh FROM t),
+m AS (SELECT doc_id, len(sh) AS n, sh, md5(array_to_string(list_sort(sh), chr(10))) AS mark FROM s),
+c AS (SELECT mark, min(doc_id) AS c, any_value(n) AS n, any_value(sh) AS sh FROM m WHERE n > 0 GROUP BY mark),
+e AS (SELECT c, n, unnest(sh) AS h FROM c),
+link AS (SELECT a.c AS a, b.c AS b FROM e a JOIN e b ON a.h = b.h AND a.c < b.c GROUP BY a.c, b.c, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT c AS node, c AS seen FROM c UNION SELECT reach.node, edge.b FROM reach JOIN edge ON edge.a = reach.seen),
+comp AS (SELECT node, min(seen) AS component FROM reach GROUP BY node)
+SELECT doc_id, m.n::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id, coalesce(component, doc_id) = doc_id AS kept
+FROM m LEFT JOIN c ON m.mark = c.mark AND m.n > 0 LEFT JOIN comp ON comp.node = c.c
+"""

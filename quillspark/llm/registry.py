@@ -28,6 +28,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_near_duplicates": near_duplicates.OP5_SQL,
         "op6_mixing": mixing.OP6_SQL,
         "op8_decontamination": decontamination.OP8_SQL,
     }
