@@ -34,7 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -234,14 +234,15 @@ class Windows:
                     yield size, name, asks
 
 
-def _scan(rows: DataFrame, s: Settings, turned: bool = False, group: int = 8192) -> DataFrame:
+def _scan(rows: DataFrame, s: Settings, turned: bool = False, depths: bool = False, group: int = 8192) -> DataFrame:
     """Trees over sorted ranges of rows (hash, context, main, rest); a partition is one range. Rows of the columns SCANNED.
 
     REACH rows have the reaches within the range. The first and the last hash of a range may go on in the neighbouring
     ranges: MEMBER rows are their contexts, with their reaches, the bytes they share with the range's first and last, and `most`: the
     most that any other context shares with them on the main side. ENDS rows have the first and last (in main and rest) and the lengths that others
     share with them. Turned rows have come from another scan, by the other side, with the sizes of windows that ranges there left open, with
-    `most` there, and with reaches; WINDOW rows name these windows. group: about how many rows are worked on together.
+    `most` there, and with reaches; WINDOW rows name these windows. depths: each context has a REACH row, with the lengths of the intervals
+    it is in (in from_first). group: about how many rows are worked on together.
     """
     schema = T.StructType.fromDDL(SCANNED)
     arrow = to_arrow_schema(schema)
@@ -255,9 +256,15 @@ def _scan(rows: DataFrame, s: Settings, turned: bool = False, group: int = 8192)
         h = np.array(hashes, np.int64)
         tree = ContextTree(h, main, rest)
         lcp = tree.lcp
+        inside_of: list[set[int]] = [set() for _ in held] if depths else []
+        for size, first, last in tree.intervals if depths else ():
+            for i in range(first, last + 1):
+                inside_of[i].add(size)
         reach, other = tree.reaches(s.length)
         row = lambda role, i, **more: tuple((BLANK | {"role": role, "part": part, "hash": hashes[i]} | more).values())
-        for i in np.flatnonzero(reach + other):
+        for i in range(len(held)) if depths else ():
+            yield row(REACH, i, context=contexts[i], from_first=sorted(inside_of[i]))
+        for i in np.flatnonzero(reach + other) if not depths else ():
             yield row(REACH, i, context=contexts[i], main_reach=int(reach[i]), rest_reach=int(other[i]))
         n = len(held)
         most = np.maximum(np.r_[FAR if opens else -1, lcp], np.r_[lcp, FAR if ends else -1])  # the neighbour of a range's edge is not here
@@ -386,8 +393,22 @@ def _reaches(contexts: DataFrame, s: Settings) -> DataFrame:
     return best
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
-    """doc, sum (hash of the text), spans (sorted [start, stop) of bytes that repeat) of each document that has any; and data, its bytes."""
+@dataclass
+class Anchored:
+    """source: doc, sum (hash of the text), data (bytes). dup: anchors whose hash repeats, mixed: with several contexts. kinds: of mixed ones the distinct contexts, n of each, and one
+    anchor. contexts: their hash, context, before (last byte first) and after."""
+
+    source: DataFrame
+    dup: DataFrame
+    kinds: DataFrame
+    contexts: DataFrame
+
+
+def _same_row() -> Column:
+    return F.col("doc").eqNullSafe(F.col("d2")) & (F.col("sum") == F.col("s2"))
+
+
+def _anchored(docs: DataFrame, id_col: str, text_col: str, s: Settings) -> Anchored:
     kind = docs.schema[id_col].dataType.simpleString()
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("doc"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("sum"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("data"))
@@ -400,7 +421,6 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return [[d for d, k in zip(docs_, n) for _ in range(k)], np.repeat(np.array(sums, np.int64), n), pos.astype(np.int32), np.minimum(pos, s.left).astype(np.int16),
                 np.minimum(size - pos, s.length).astype(np.int16), flat(1).view(np.int64), flat(2).view(np.int64)]
 
-    same_row = F.col("doc").eqNullSafe(F.col("d2")) & (F.col("sum") == F.col("s2"))
     long_enough = source.where(F.octet_length("data") >= s.length)
     found = materialize(map_columns(long_enough, find, f"doc {kind}, sum long, pos int, left short, right short, hash long, context long", rows=256), "anchors")
     groups = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1")).where("n > 1")
@@ -409,22 +429,29 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dup = materialize(found.join(groups, "hash"), "repeated-anchors")
     discard(found, groups)
     release_shuffles(spark)
-    at = lambda lo, hi: F.struct((F.col("pos") - lo).alias("start"), (F.col("pos") + hi).alias("stop"))
-    whole = F.col("left") + F.col("right") >= s.length
-    pure = dup.where(~F.col("mixed") & whole).select("doc", "sum", at(F.col("left"), F.col("right")).alias("span"))
-
-    mixed = dup.where("mixed")
-    kinds = materialize(mixed.groupBy("hash", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "sum", "pos", "left", "right")).alias("one")), "contexts")
+    kinds = materialize(dup.where("mixed").groupBy("hash", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "sum", "pos", "left", "right")).alias("one")), "contexts")
     asked = kinds.select("one.doc", "one.sum", F.struct("hash", "context", "one.pos", "one.left", "one.right").alias("ask"))
     wanted = asked.groupBy("doc", "sum").agg(F.collect_list("ask").alias("asks"))  # no more than a document has anchors
-    near = source.join(wanted.withColumnsRenamed({"doc": "d2", "sum": "s2"}), same_row).select("data", "asks")
+    near = source.join(wanted.withColumnsRenamed({"doc": "d2", "sum": "s2"}), _same_row()).select("data", "asks")
 
     def cut(datas: list, asks: list) -> list:
         rows = [(a["hash"], a["context"], b[a["pos"] - a["left"]:a["pos"]][::-1], b[a["pos"]:a["pos"] + a["right"]]) for b, many in zip(datas, asks) for a in many]
         return [list(c) for c in zip(*rows)] or [[], [], [], []]
 
-    bytes_ = materialize(map_columns(near, cut, "hash long, context long, before binary, after binary", rows=64), "context-bytes")
+    contexts = materialize(map_columns(near, cut, "hash long, context long, before binary, after binary", rows=64), "context-bytes")
     release_shuffles(spark)
+    return Anchored(source, dup, kinds, contexts)
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
+    """doc, sum (hash of the text), spans (sorted [start, stop) of bytes that repeat) of each document that has any; and data, its bytes."""
+    spark = docs.sparkSession
+    a = _anchored(docs, id_col, text_col, s)
+    source, dup, kinds, bytes_ = a.source, a.dup, a.kinds, a.contexts
+    at = lambda lo, hi: F.struct((F.col("pos") - lo).alias("start"), (F.col("pos") + hi).alias("stop"))
+    whole = F.col("left") + F.col("right") >= s.length
+    pure = dup.where(~F.col("mixed") & whole).select("doc", "sum", at(F.col("left"), F.col("right")).alias("span"))
+    mixed = dup.where("mixed")
     reach = _reaches(bytes_, s)
     often = kinds.where("n > 1").select("hash", "context", F.col("one.left").cast("int").alias("lo"), F.col("one.right").cast("int").alias("hi")).where(F.col("lo") + F.col("hi") >= s.length)
     best = materialize(reach.unionByName(often).groupBy("hash", "context").agg(F.max("lo").alias("lo"), F.max("hi").alias("hi")), "reaches")
@@ -432,11 +459,57 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     split = mixed.join(best, ["hash", "context"]).select("doc", "sum", at(F.col("lo"), F.col("hi")).alias("span"))
     spans = pure.unionByName(split).groupBy("doc", "sum").agg(F.sort_array(F.collect_set("span")).alias("spans"))  # no more than anchors
     spans = materialize(spans, "spans")
-    discard(dup, bytes_)
-    joined = source.join(spans.withColumnsRenamed({"doc": "d2", "sum": "s2"}), same_row)
+    discard(dup, kinds, bytes_, best)
+    joined = source.join(spans.withColumnsRenamed({"doc": "d2", "sum": "s2"}), _same_row())
     return joined.select("doc", "sum", "spans", "data")
 
 
+def _depths(rows: DataFrame, s: Settings) -> DataFrame:
+    """hash, context and depths, the bytes that each of rows (hash, context, main, rest) shares on the main side with any other of its hash."""
+    scanned = materialize(_scan(rows, s, depths=True), "depths")
+    local = scanned.where(F.col("role") == REACH).select("hash", "context", F.explode_outer("from_first").alias("depth"))
+    if (members := _open_members(scanned)) is not None:
+        local = local.unionByName(members.select("hash", "context", F.explode("sizes").alias("depth")))
+    return local.where("depth is not null").groupBy("hash", "context").agg(F.collect_set("depth").alias("depths"))  # at most `length`
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s: Settings = Settings()) -> DataFrame:
+    """repeat (a hash of the string), n_bytes, doc, sum and start of every occurrence of each maximal repeat.
+
+    A maximal repeat has two occurrences that differ in the byte before, and two in the byte behind. Those are returned of at least `length` bytes that lie within
+    an anchor's context; of a longer one the overlapping parts that contexts show, each as a group. A string that ends where a
+    context or text ends counts as different there.
+    """
+    a = _anchored(docs, id_col, text_col, s)
+    right = _depths(a.contexts.select("hash", "context", F.col("after").alias("main"), F.col("before").alias("rest")), s).withColumnRenamed("depths", "rights")
+    left = _depths(a.contexts.select("hash", "context", F.col("before").alias("main"), F.col("after").alias("rest")), s).withColumnRenamed("depths", "lefts")
+    empty = F.array().cast("array<int>")
+    known = (a.contexts.dropDuplicates(["hash", "context"]).join(a.kinds.select("hash", "context", "n"), ["hash", "context"]).join(right, ["hash", "context"], "left").join(left, ["hash", "context"], "left")
+             .select("hash", "context", "n", "before", "after", F.coalesce("rights", empty).alias("rights"), F.coalesce("lefts", empty).alias("lefts")))
+
+    def strings(hashes: list, contexts_: list, ns: list, befores: list, afters: list, rights: list, lefts: list) -> list:
+        out = []
+        for h, c, n, before, after, ahead, behind in zip(hashes, contexts_, ns, befores, afters, rights, lefts):
+            ends = {(m, k) for k in ahead for m in behind if m + k >= s.length}
+            if n > 1 and len(before) + len(after) >= s.length:  # the whole context repeats
+                ends.add((len(before), len(after)))
+            for m, k in ends:
+                name = int.from_bytes(hashlib.blake2b(before[:m][::-1] + after[:k], digest_size=8).digest(), "little", signed=True)
+                out.append((h, c, m, m + k, name, before[m] if m < len(before) else -1, after[k] if k < len(after) else -1))
+        return [list(x) for x in zip(*out)] or [[] for _ in range(7)]
+
+    made = materialize(map_columns(known, strings, "hash long, context long, m int, n_bytes int, repeat long, byte_before int, byte_behind int"), "repeat-strings")
+    places = made.join(a.dup.where("mixed").select("hash", "context", "doc", "sum", "pos"), ["hash", "context"]).select(
+        "repeat", "n_bytes", "doc", "sum", (F.col("pos") - F.col("m")).alias("start"), "byte_before", "byte_behind")
+    whole = a.dup.where(~F.col("mixed") & (F.col("left") + F.col("right") >= s.length)).select(
+        F.col("context").alias("repeat"), (F.col("left") + F.col("right")).cast("int").alias("n_bytes"), "doc", "sum", (F.col("pos") - F.col("left")).alias("start"), F.lit(-1).alias("byte_before"), F.lit(-1).alias("byte_behind"))
+    # Anchors of one string show the same places.
+    found = materialize(places.unionByName(whole).groupBy("repeat", "n_bytes", "doc", "sum", "start").agg(F.min("byte_before").alias("b0"), F.max("byte_before").alias("b1"), F.min("byte_behind").alias("e0"), F.max("byte_behind").alias("e1")), "repeat-places")
+    diverse = lambda lo, hi: (F.min(lo) != F.max(hi)) | (F.min(lo) < 0)
+    groups = found.groupBy("repeat", "n_bytes").agg(F.count(F.lit(1)).alias("n"), diverse("b0", "b1").alias("left"), diverse("e0", "e1").alias("right")).where("n > 1 and left and right").select("repeat", "n_bytes")
+    return found.join(groups, ["repeat", "n_bytes"]).select("repeat", "n_bytes", F.col("doc").alias(id_col), "sum", "start")
+
+
 def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Maximal runs of sorted spans."""
     out: list[list[int]] = []
