@@ -84,6 +84,21 @@ def test_sharded_documents_keep_every_column(docs, rows):
 # 2 language
 
 
+def test_language_of_clashing_columns_long_texts_and_repeats(spark):
+    words = {"en": "the and of to is that with for", "de": "der die und ist das nicht mit ein"}
+    rows = [(i, " ".join(random.Random(i).choices(words[k].split(), k=40)), k, "s") for i, k in enumerate(["en", "de"] * 60)]
+    rows += [(None, "the and of to", "en", "t")] * 500 + [(1007, None, "en", None), (1008, "the " * 200_000, None, "u")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    trained = language.train(docs)
+    assert trained[0].languages == ["de", "en"]
+    out = language.predict(docs, trained, ["doc_id", "score", "lang"])
+    assert out.columns == ["doc_id", "lang", "lang_pred", "score", "entropy", "rejected"]
+    got = out.collect()
+    assert len(got) == len(rows) and all(r["lang_pred"] == r["lang"] for r in got if r["doc_id"] not in (1007, 1008)) and [r["lang_pred"] for r in got if r["doc_id"] == 1008] == ["en"]
+    once = language.train(docs.dropDuplicates(["doc_id", "text"]))
+    assert (once[0].levels[-1].logp == trained[0].levels[-1].logp).all()  # repeated rows teach once
+
+
 def test_language_on_held_out_rows(spark):
     from quillspark.llm.common import fold, table
 
@@ -197,6 +212,28 @@ def test_tree_shows_equality_and_edits():
     assert fingerprints.likeness(fingerprints.fingerprint(None), fingerprints.fingerprint("")) == 1.0
 
 
+def test_walk_finds_the_edited_branch_alone():
+    rng = random.Random(6)
+    for _ in range(40):
+        parts = [[" ".join(rng.choice(WORDS) + str(rng.randint(0, 99)) for _ in range(rng.randint(3, 40))) for _ in range(rng.randint(1, 5))] for _ in range(rng.randint(1, 6))]
+        text = lambda ps: "\n\n".join("\n".join(p) for p in ps)
+        i = rng.randrange(len(parts))
+        j = rng.randrange(len(parts[i]))
+        words = parts[i][j].split(" ")
+        words[rng.randrange(len(words))] = "edited"
+        changed = [[" ".join(words) if (a, b) == (i, j) else q for b, q in enumerate(p)] for a, p in enumerate(parts)]
+        a, b = fingerprints.fingerprint(text(parts)), fingerprints.fingerprint(text(changed))
+        assert fingerprints.differing_branches(b, a) == [(i, j)] == fingerprints.differing_branches(a, b)
+        deep = fingerprints.differing_branches(b, a, 3)
+        assert deep and {x[:2] for x in deep} == {(i, j)} and len(deep) <= 2  # a leaf, or two where its boundary moved
+        more = [*parts[:i], ["an inserted section of its own"], *parts[i:]]
+        assert fingerprints.differing_branches(a, fingerprints.fingerprint(text(more))) in ([], [(len(parts) - 1, len(parts[-1]) - 1)])
+        # A plain count of leaves gives the likeness.
+        leaves = lambda x: Counter(n.hash for sec in fingerprints.tree(x).children for par in sec.children for n in par.children)
+        both = (leaves(a) & leaves(b)).total()
+        assert fingerprints.likeness(a, b) == pytest.approx(2 * both / (leaves(a).total() + leaves(b).total()))
+
+
 # 5 near duplicates
 
 
@@ -268,6 +305,16 @@ def test_sketches_merge_and_estimate():
     assert abs(np.mean(many) - 180 / 220) < 0.02
 
 
+def test_near_duplicates_against_sql(spark):
+    from quillspark.llm import registry
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    want = Counter(con.execute(registry.oracle_sql()["op5_near_duplicates"]).fetchall())
+    out = near_duplicates.op5_near_duplicates(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "n_shingles", "component_id", "kept"] and Counter(tuple(r) for r in out.collect()) == want
+
+
 def test_dropping_keeps_one_of_each(docs, rows, empty):
     out = near_duplicates.drop_near_duplicates(docs)
     assert out.columns == docs.columns
@@ -276,6 +323,79 @@ def test_dropping_keeps_one_of_each(docs, rows, empty):
     assert near_duplicates.near_duplicates(empty).count() == 0
 
 
+def test_recall_on_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], near_duplicates.shingles(r["text"])) for r in docs.collect()]
+    sets = {x.tobytes(): set(x.tolist()) for _, x in rows if len(x)}
+    count = Counter(h for x in sets.values() for h in x)
+    names = list(sets)
+    for percent in (80, 85):
+        # Exact by prefixes: two sets that alike share one of their rarest shingles.
+        index, pairs = {}, set()
+        for i, n in enumerate(names):
+            order = sorted(sets[n], key=lambda h: (count[h], h))
+            prefix = order[:len(order) - (percent * len(order) + 99) // 100 + 1]
+            for j in {j for h in prefix for j in index.get(h, ())}:
+                both = len(sets[n] & sets[names[j]])
+                if 100 * both >= percent * (len(sets[n]) + len(sets[names[j]]) - both):
+                    pairs.add((i, j))
+            for h in prefix:
+                index.setdefault(h, []).append(i)
+        of = {r["doc_id"]: r["component_id"] for r in near_duplicates.near_duplicates(docs, s=near_duplicates.Settings(percent=percent)).collect()}
+        up = list(range(len(names)))
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in pairs:
+            up[find(a)] = find(b)
+        least = {}
+        at = {n: i for i, n in enumerate(names)}
+        for i, x in rows:
+            if len(x):
+                root = find(at[x.tobytes()])
+                least[root] = min(least.get(root, i), i)
+        assert pairs and of == {i: least[find(at[x.tobytes()])] if len(x) else i for i, x in rows}
+
+
+def test_repeated_rows_cost_one_pair(spark):
+    words = [f"w{i}" for i in range(200)]
+    near = [*words[:198], "x", "y"]
+    data = [(1, " ".join(words))] * 300 + [(2, " ".join(near))] * 300 + [(None, " ".join(near))] * 3 + [(1, "another text under the same id here")]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    s = near_duplicates.Settings()
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates.near_duplicates(df, s=s).collect())
+    assert got == {(1, 1, True): 301, (2, 1, False): 300, (None, 1, False): 3}
+    left = near_duplicates.drop_near_duplicates(df).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in left) == {(1, " ".join(words)): 1, (1, "another text under the same id here"): 1}
+
+
+def test_components_of_random_graphs(spark):
+    for seed, n, m in ((1, 300, 200), (2, 300, 400), (3, 40, 400)):
+        rng = random.Random(seed)
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        up = list(range(n))
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for a, b in edges:
+            x, y = sorted((find(a), find(b)))
+            up[y] = x
+        want = {x: find(x) for a, b in edges if a != b for x in (a, b)}
+        rows = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {r["node"]: r["component"] for r in rows} == want and len(rows) == len(want)
+
+
+def test_empty_tables_of_sharding_and_secrets(empty):
+    assert sharding.plan_shards(empty, 4).count() == 0 and sharding.shard_documents(empty, 4).count() == 0
+    assert secrets.summarize_secrets(empty).count() == 0 and secrets.find_secrets(empty).count() == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 95), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -340,13 +460,69 @@ def brute_repeats(texts, length):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"block": 2}, {"length": 60, "gram": 16, "piece": 64}])
+@pytest.mark.parametrize("options", [{}, {"length": 60, "gram": 16, "piece": 64}])
 def test_repeats(docs, rows, options):
     s = suffix_repeats.Settings(**options)
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_repeats.remove_repeats(docs, s=s).collect())
     assert got == Counter((r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows], s.length)))
 
 
+def test_repeats_on_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    data = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    n = Counter(hash(b[i:i + 200]) for b in data.values() for i in range(len(b) - 199))
+    got = {r["doc_id"]: r for r in suffix_repeats.remove_repeats(docs).collect()}
+    hit = 0
+    for doc, b in data.items():
+        gone = bytearray(len(b))
+        for i in range(len(b) - 199):
+            if n[hash(b[i:i + 200])] > 1:
+                gone[i:i + 200] = b"\1" * 200
+        assert got[doc]["n_removed"] == sum(gone) and got[doc]["kept_sha256"] == hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()
+        hit += any(gone)
+    assert hit
+
+
+def test_a_passage_of_twenty_thousand_contexts(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    middle, lefts, rights = word(44), [word(rng.randint(4, 40)) for _ in range(60)], [word(rng.randint(4, 40)) for _ in range(60)]
+    texts = [word(20) + rng.choice(lefts)[rng.randint(0, 9):] + middle + rng.choice(rights)[:rng.randint(2, 40)] + word(20) for _ in range(20_000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    s = suffix_repeats.Settings(length=60, gram=16)
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_repeats.remove_repeats(frame, s=s).collect()}
+    assert got == dict(enumerate(brute_repeats(texts, 60)))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repeat_groups(spark, seed):
+    rng = random.Random(seed)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    passages = [word(rng.randint(20, 60)) for _ in range(4)]
+    texts = [word(rng.randint(0, 30)) + rng.choice(passages)[rng.randint(0, 5):] + word(rng.randint(0, 30)) for _ in range(40)] + [word(90)] * 3
+    s = suffix_repeats.Settings(length=20, gram=8)
+    rows = suffix_repeats.repeat_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), s=s).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault((r["repeat"], r["n_bytes"]), set()).add((r["doc_id"], r["start"]))
+    places = lambda w: {(i, k) for i, t in enumerate(texts) for k in range(len(t) - len(w) + 1) if t.startswith(w, k)}
+    covered = [set() for _ in texts]
+    for (_, n), found in groups.items():
+        i, k = min(found)
+        assert len(found) > 1 and n >= 20 and found == places(texts[i][k:k + n])  # all occurrences
+        for i, k in found:
+            covered[i].update(range(k, k + n))
+    for got, (_, gone, *_) in zip(covered, brute_repeats(texts, 20)):
+        assert len(got) == gone
+    # Every maximal repeat of the least length is there.
+    strings = {texts[i][k:k + n] for (_, n), found in groups.items() for i, k in [min(found)]}
+    for w in {t[k:k + 20] for t in texts for k in range(len(t) - 19)}:
+        at = places(w)
+        before, behind = {texts[i][k - 1:k] or i for i, k in at}, {texts[i][k + 20:k + 21] or i for i, k in at}
+        if len(at) > 1 and len(before) > 1 and len(behind) > 1:
+            assert w in strings
+
+
 def test_interval_tree():
     word = "banana"
     suffixes = sorted(word[i:] for i in range(len(word)))
@@ -354,6 +530,16 @@ def test_interval_tree():
     assert set(suffix_repeats.lcp_intervals(lcp)) == {(0, 0, 5), (1, 0, 2), (3, 1, 2), (2, 4, 5)}
 
 
+def test_repeated_rows_in_bulk_repeat_each_other(spark):
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdef ") for _ in range(700))
+    other = text[:300] + "".join(rng.choice("abcdef ") for _ in range(300))
+    docs = spark.createDataFrame([(1, text)] * 400 + [(None, other)] * 300 + [(2, "short")], "doc_id long, text string")
+    got = Counter(tuple(r) for r in suffix_repeats.remove_repeats(docs).collect())
+    nothing = hashlib.sha256(b"").hexdigest()
+    assert got == {(1, 700, 700, 1, nothing): 400, (None, 600, 600, 1, nothing): 300, (2, 5, 0, 0, hashlib.sha256(b"short").hexdigest()): 1}
+
+
 def test_repeats_of_nothing(empty):
     assert suffix_repeats.remove_repeats(empty).count() == 0
     assert suffix_repeats.kept_bytes(empty).count() == 0
@@ -396,6 +582,34 @@ def test_proximity(spark):
     assert sorted(r["doc"] for r in index.proximity_matches(4).collect()) == [1, 2] and index.phrase_matches().count() == 0
 
 
+@pytest.mark.parametrize("within", [1, 4, 10, 25])
+def test_proximity_at_any_distance(spark, within):
+    rng = random.Random(within)
+    texts = [[rng.choice("abcdefgh") for _ in range(60)] for _ in range(30)]
+    for t in texts[:20]:
+        t[rng.randrange(60)], t[rng.randrange(60)] = "zebra", "quartz"
+    texts[0] = ["zebra"] * 30 + ["quartz"] * 3
+    texts[1] = ["zebra"] * 40
+    items = [(1, "quartz a zebra"), (2, "zebra zebra"), (3, "quartz")]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id int, text string")
+    index = decontamination.PositionalIndex(docs, spark.createDataFrame(items, "item_id int, text string"))
+    picks = {(r["window"], r["rank"]): r["key"] for r in index.picks.collect()}
+    key = {r["w"]: r["k"] for r in spark.createDataFrame([(w,) for w in ["zebra", "quartz", *"abcdefgh"]], "w string").select("w", decontamination.key_of("w").alias("k")).collect()}
+    want = set()
+    for window in {w for w, _ in picks}:
+        first, second = picks[window, 1], picks.get((window, 2))
+        for i, t in enumerate(texts):
+            at = [key[w] for w in t]
+            want |= {(i, window, p) for p, k in enumerate(at) if k == first and any(0 < abs(p - q) <= within and at[q] == second for q in range(len(at)))}
+    assert {(r["doc"], r["window"], r["pos"]) for r in index.proximity_matches(within).collect()} == want and want
+
+
+def test_more_lists_find_the_same(docs, benchmark):
+    frame, _ = benchmark
+    found = [Counter(tuple(r) for r in decontamination.PositionalIndex(docs, frame, lists=k).phrase_matches().collect()) for k in (1, 2, 3, 6)]
+    assert found[0] and all(f == found[0] for f in found)
+
+
 # 9 toxicity
 
 
@@ -429,57 +643,197 @@ def test_toxicity_reads_the_whole_of_a_long_word():
         parts = toxicity.words(word[:n], s)
         assert all(any(word[i:i + s.longest] in p for p in parts) for i in range(n - s.longest + 1)) and max(map(len, parts)) <= 64
     weight = np.zeros(s.buckets, np.float32)
-    weight[toxicity.word_grams("idiotic", s)] = 5
+    weight[toxicity.gram_table(["idiotic"], s)[0]] = 5
     model = toxicity.Model(s, weight, -2.0)
     assert model.score("x" * 100 + ".idiotic") > model.score("x" * 108)
 
 
+def test_toxicity_scores_equal_a_plain_version(spark):
+    s = toxicity.Settings()
+    weight = np.random.default_rng(1).normal(0, 3, s.buckets).astype(np.float32)
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice([*WORDS, "...", "Über!", "z" * 500, "(a)", "ß"]) for _ in range(rng.randint(0, 60))) for _ in range(80)] + [None, "", "?!", "a " * 9000]
+
+    def plain(text):
+        roots = {w: k**0.5 for w, k in Counter(toxicity.words(text, s)).items()}
+        whole = sum(roots.values()) + s.padding
+        odds = -1.0 + sum(float(weight[toxicity.gram_table([w], s)[0]].astype(float).sum()) * r / whole for w, r in roots.items())
+        return 1 / (1 + math.exp(-max(-40, min(40, odds))))
+
+    model = toxicity.Model(s, weight, -1.0)
+    assert np.allclose(model.scores(texts[:30]), [plain(t) for t in texts[:30]]) and np.allclose(model.scores(texts), [plain(t) for t in texts])
+    rows, shares = toxicity.features(texts, s)
+    assert np.allclose([1 / (1 + np.exp(-np.clip(-1.0 + (weight[r].astype(float) * x).sum(), -40, 40))) for r, x in zip(rows, shares)], [plain(t) for t in texts])
+    small = toxicity.Model(toxicity.Settings(room=3), weight, -1.0)
+    assert np.allclose(np.concatenate([small.scores([t]) for t in texts]), [plain(t) for t in texts])
+    docs = spark.createDataFrame([(1, "plain words", "x", 5)], "doc_id long, text string, score string, text_to_judge int")
+    assert toxicity.score(docs, model, ["doc_id", "score", "text_to_judge"]).columns == ["doc_id", "text_to_judge", "score", "predicted"]
+
+
+def test_toxicity_learns_from_repeated_rows_once(spark):
+    texts = [f"{a} {b} words here" for a in WORDS[:12] for b in WORDS[:12]]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(i, t) for i, t in enumerate(texts[:20])] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(len(texts))] * 2, "doc_id long, toxic int")
+    once = toxicity.train(docs.dropDuplicates(["doc_id"]), labels)
+    again = toxicity.train(docs, labels)
+    assert np.allclose(once.weight, again.weight) and abs(once.bias - again.bias) < 1e-9
+
+
 # 10 language model
 
 
-def test_base_scores(docs, rows, empty):
+def test_base_scores(spark, docs, rows, empty):
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
     from quillspark.llm.common import fold
 
     learn = fold("doc_id", 5) != 1
-    for common in (65_536, 3):
-        s = pitman_yor.Settings(common=common)
-        got = pitman_yor.score(docs, pitman_yor.train(docs, learn, s=s), ["doc_id"], s=s).collect()
-        tokens = [(r[0], re.findall(r"[^\x20\x09-\x0D]+", lower(r[1])) + [""]) for r in rows]
-        c = Counter(w for i, ws in tokens if not held(i) for w in ws)
-        n, v = sum(c.values()), len(c)
-        want = Counter((i, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)) for i, ws in tokens)
+    tokens = [(r[0], re.findall(r"[^\x20\x09-\x0D]+", lower(r[1])) + [""]) for r in rows]
+    c = Counter(w for i, ws in tokens if not held(i) for w in ws)
+    n, v = sum(c.values()), len(c)
+    want = Counter((i, len(ws), sum(c[w] > 0 for w in ws), n, round(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws), 6)) for i, ws in tokens)
+    scores = []
+    # The first two differ in slices, buckets and partitions alone, and the scores not at all; the third has few words of their own.
+    for partitions, s in ((2, pitman_yor.Settings()), (5, pitman_yor.Settings(slice_rows=7, bucket_tokens=60, chunk=100)), (4, pitman_yor.Settings(common=3, classes=5))):
+        spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+        got = pitman_yor.train_and_score(docs, learn, ["doc_id"], s=s).collect()
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 6)) for r in got) == want
-        if common == 65_536:
-            first = sorted((str(r["doc_id"]), round(r["score"], 3)) for r in got)
-        else:
-            assert sorted((str(r["doc_id"]), round(r["score"], 3)) for r in got) == first  # broadcast and join agree
-    assert pitman_yor.score(empty, pitman_yor.train(empty, learn), ["doc_id"]).count() == 0
+        scores.append(sorted((str(r["doc_id"]), r["score"]) for r in got))
+    assert [i for i, _ in scores[0]] == [i for i, _ in scores[1]]
+    assert max(abs(x[1] - y[1]) for x, y in zip(scores[0], scores[1])) < 1e-9 < max(abs(x[1] - y[1]) for x, y in zip(scores[0], scores[2]))
+    assert pitman_yor.train_and_score(empty, learn, ["doc_id"]).count() == 0
+
+
+def test_clashing_columns_of_language_model_scores(spark):
+    docs = spark.createDataFrame([(1, "a b", 5, "x"), (2, None, 6, "y")], "doc_id long, text string, score int, `_` string")
+    out = pitman_yor.train_and_score(docs, F.lit(False), ["doc_id", "score", "_"])
+    assert out.columns == ["doc_id", "_", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    # Nothing is learned: each token has the base's probability, which is that of the one type there is.
+    assert sorted((r["doc_id"], r["_"], r["n_tokens"], r["n_known"], r["score"]) for r in out.collect()) == [(1, "x", 3, 0, 0.0), (2, "y", 1, 0, 0.0)]
+
+
+CORPUS = ["a b a b a b c", "b a b a b", "c a b", "a b c c", "d"] * 4
+
+
+def model_of(spark, s):
+    pairs = [f"{u} {w}" for u in "abcdx" for w in "abcdx"]
+    data = [(t, True) for t in CORPUS] + [(t, False) for t in pairs + [""]]
+    docs = spark.createDataFrame(data, "text string, learn boolean")
+    slices = pitman_yor.slice_texts(docs, F.col("learn"), ["text"], "text", s)
+    trained = pitman_yor.train(slices, s)
+    name = dict(zip(pitman_yor.keys_of([w.encode() for w in ["", *"abcdx"]]).tolist(), ["", *"abcdx"]))
+    place = {w: int(trained.contexts.of(pitman_yor.keys_of([w.encode()]))[0]) for w in ["", *"abcdx"]}
+    cells = {(place_of, name[r["key"]]): r for r in pitman_yor.cell_scores(trained, s).collect() for place_of in [w for w, at in place.items() if at == r["context"]]}
+    return trained, cells, pitman_yor.score(slices, trained, s).collect()
 
 
 def test_predictions_sum_to_one_and_follow_context(spark):
-    texts = ["a b a b a b c", "b a b a b", "c a b"] * 20
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
-    s = pitman_yor.Settings(contexts=16)
-    trained = pitman_yor.train(docs, F.lit(True), s=s)
-    lexicon = {r["word"]: r for r in trained.lexicon.collect()}
-    unseen = (1 - sum(np.array(r["parents"]) for r in lexicon.values()))
-    reader = pitman_yor.Reader(16)
-    reader.read(["a b c"])
-    for context in {0, *reader.context_of}:
-        p = sum(10 ** dict(zip(r["contexts"], r["logp"])).get(context, math.log10((np.array(r["parents"]) * trained.backs[:, context]).mean())) for r in lexicon.values())
-        assert p + (unseen * trained.backs[:, context]).mean() == pytest.approx(1)
-    scored = pitman_yor.score(docs, trained, ["doc_id"], s=s)
-    assert all(r["score"] > r["base_score"] for r in scored.collect()) and pitman_yor.perplexity(scored).first()["perplexity"] < 4
-
-
-def test_three_samples_of_four_sweeps_are_averaged(spark):
-    docs = spark.createDataFrame([(1, "a b a")], "doc_id int, text string")
-    assert pitman_yor.Settings().sweeps == 4 and len(pitman_yor.train(docs, F.lit(True)).backs) == 3
-
-
-def test_seating_stays_in_bounds():
-    rng = np.random.default_rng(1)
+    for s in (pitman_yor.Settings(), pitman_yor.Settings(common=2, classes=2)):
+        trained, cells, scored = model_of(spark, s)
+        for u in "abcdx":
+            assert sum(10 ** cells[u, w]["logp"] for w in ["", *"abcdx"]) == pytest.approx(1)
+        for r in scored:
+            if len(trained.contexts.keys) > 2:
+                tokens = ["", *r["text"].split(), ""]
+                assert r["score"] == pytest.approx(sum(cells[u, w]["logp"] for u, w in zip(tokens, tokens[1:])))
+    learned = [r for r in scored if r["text"] in CORPUS]
+    assert all(r["score"] > r["base_score"] for r in learned)
+
+
+def plain_sampler(d, top_d, strength, sweeps, burn_in, seed=1):
+    """A seating of one customer at a time, with lists of tables: averaged predictions of each word in each context."""
+    rng = random.Random(seed)
+    words = sorted({w for t in CORPUS for w in [*t.split(), ""]})
+    types = len(words) + 1
+    seats = {}  # (context or None for the parent, word): sizes of tables
+
+    def totals(u):
+        mine = [x for (c, _), x in seats.items() if c == u]
+        return sum(map(sum, mine)), sum(map(len, mine))
+
+    def predict(u, w):
+        n, t = totals(u)
+        x, disc = seats.get((u, w), []), top_d if u is None else d
+        back = 1 / types if u is None else predict(None, w)
+        return (max(sum(x) - disc * len(x), 0) + (strength + disc * t) * back) / (strength + n)
+
+    def add(u, w):
+        x, disc = seats.setdefault((u, w), []), top_d if u is None else d
+        new = (strength + disc * totals(u)[1]) * (1 / types if u is None else predict(None, w))
+        at = rng.choices(range(len(x) + 1), [*[y - disc for y in x], new])[0]
+        if at < len(x):
+            x[at] += 1
+        else:
+            x.append(1)
+            if u is not None:
+                add(None, w)
+
+    def remove(u, w):
+        x = seats[u, w]
+        at = rng.choices(range(len(x)), x)[0]
+        x[at] -= 1
+        if not x[at]:
+            x.pop(at)
+            if u is not None:
+                remove(None, w)
+
+    customers = [(u, w) for t in CORPUS for u, w in zip(["", *t.split()], [*t.split(), ""])]
+    for u, w in customers:
+        add(u, w)
+    sums = Counter()
+    for k in range(sweeps):
+        for u, w in customers:
+            remove(u, w)
+            add(u, w)
+        if k >= burn_in:
+            for u in ["", *words]:
+                for w in [*words, "x"]:
+                    sums[u, w] += predict(u, w) / (sweeps - burn_in)
+    return sums
+
+
+def test_samples_agree_with_a_plain_sampler(spark):
+    trained, cells, _ = model_of(spark, pitman_yor.Settings(sweeps=16, burn_in=4))
+    first = trained.samples[0]
+    want = plain_sampler(first.discount, first.top_discount, first.strength, 150, 30)
+    seen = [(10 ** cells[u, w]["logp"], want[u, w]) for u in "abcd" for w in ["", *"abcdx"]]
+    assert max(abs(x - y) for x, y in seen) < 0.03
+
+
+def test_moves_keep_the_exact_law_of_tables():
+    for c, pull, d in ((2, 0.7, 0.5), (5, 0.3, 0.6), (9, 2.0, 0.3)):
+        ways = np.zeros((c + 1, c + 1))  # seatings by customers and tables
+        ways[1, 1] = 1
+        for n in range(1, c):
+            for t in range(1, n + 1):
+                ways[n + 1, t] += ways[n, t] * (n - t * d)
+                ways[n + 1, t + 1] += ways[n, t]
+        law = ways[c, 1:] * pull ** np.arange(1, c + 1)
+        law /= law.sum()
+        m = 6000
+        names = np.arange(m, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        tables, sizes = np.ones(m, np.int64), np.full(m, c)
+        for k in range(25):
+            tables, sizes = pitman_yor.sweep_cells(tables, sizes, np.full(m, c), np.full(m, pull), d, names, 8, 5, k)
+            assert sizes.min() >= 1 and (np.bincount(np.repeat(np.arange(m), tables), sizes) == c).all()
+        assert abs(np.bincount(tables, minlength=c + 1)[1:] / m - law).max() < 0.025
+
+
+def test_seats_grow_shrink_and_stay_in_bounds():
     c = np.array([0, 1, 2, 10, 1000, 100_000])
-    t = pitman_yor.seat(c, np.full(6, 0.5), 0.5, rng)
-    assert (t <= c).all() and (t[1:] >= 1).all() and t[0] == 0 and t[3] <= 10
+    names = np.arange(6, dtype=np.uint64)
+    t, sizes = pitman_yor.grow(c, np.full(6, 0.5), 0.5, names, 1)
+    owner = np.repeat(np.arange(6), t)
+    assert (t <= c).all() and (t[1:] >= 1).all() and t[0] == 0 and (np.bincount(owner, sizes, 6) == c).all() and sizes.min() >= 1
+    wanted = np.array([3, 2, 1, 40, 990, 100_005])
+    t, sizes = pitman_yor.sweep_cells(t, sizes, wanted, np.full(6, 0.5), 0.5, names, 8, 2)
+    assert (np.bincount(np.repeat(np.arange(6), t), sizes, 6) == wanted).all() and sizes.min() >= 1
+
+
+def test_arrays_as_bytes():
+    arrays = [np.array([], np.int64), np.arange(300, dtype=np.uint16), np.array([-1, 2**62]), np.array([0.5, -2.0]), np.zeros(0, np.uint8)]
+    for x, y in zip(arrays, pitman_yor.unpack(pitman_yor.pack(*arrays))):
+        assert x.dtype == y.dtype and (x == y).all()
+    for a in (np.zeros(0, np.int64), np.array([5, 5, 2, 900, -1, 0])):
+        assert (pitman_yor.ungap(pitman_yor.gaps(a)) == a).all()
