@@ -1,8 +1,12 @@
 """Corpus pipeline: five stages, each written as Parquet and read again as the next one's documents.
 
 Language ID, near-duplicate removal, benchmark decontamination, source mixing, sharding. Every stage but
-the last returns the columns of documents; mixing repeats rows, and sharding adds shard. Nulls, empty texts,
-repeated rows and empty tables are handled as each operator's docstring says.
+the last returns the columns of documents; mixing repeats rows, and sharding adds shard.
+
+Edge cases: the language stage drops rows whose text is null or has no letter; near-duplicate removal keeps one of rows that repeat id and text, the least id
+of a component, and texts without words; decontamination keeps texts without words; mixing gives repeated rows equal counts; sharding tells repeated
+rows apart. Null ids and sources are values of their own, ties go to the least id, very long texts are read whole, an empty
+table gives an empty one, and columns beside those of documents are carried, whatever their names (one named shard is replaced in the end).
 """
 
 from __future__ import annotations
