@@ -2,7 +2,7 @@
 
 The base patterns find assignments, access keys and long hex strings. The method adds `novel` spans:
 every long token with a sensitive word in the text on either side is compressed behind its surroundings,
-by a compressor whose dictionary holds common identifiers; the bytes that the token adds tell how much of
+by a compressor whose dictionary holds common identifiers, fixed ones and the most frequent of all texts; the bytes that the token adds tell how much of
 it neither the surroundings nor the dictionary explain. A token whose bytes hardly compress is a span, whatever characters it is
 made of: random ones add all their bytes, words and identifiers about half of them.
 
@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm.common import map_columns, table
 
@@ -61,24 +62,34 @@ class Limits:
         return max(self.least, min(self.enough, self.share * len(token)))
 
 
-@lru_cache(maxsize=1)
-def _compressor():
+def learn_identifiers(docs: DataFrame, text_col: str = "text", size: int = 4000, shortest: int = 5, longest: int = 40) -> tuple[str, ...]:
+    """The `size` most frequent words of letters and _ in all texts, the rarest first, ties by the word; size is a bound on what comes to the driver.
+
+    Words with digits are left out: a key that many copies of a text hold must not explain itself.
+    """
+    words = docs.select(F.explode(F.split(F.col(text_col), r"[^A-Za-z_]+")).alias("word")).where(F.length("word").between(shortest, longest))
+    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(size)
+    return tuple(r["word"] for r in reversed(top.collect()))
+
+
+@lru_cache(maxsize=2)
+def _compressor(learned: tuple[str, ...]):
     import zstandard  # here, so that a missing module fails this operator alone, and loudly
 
-    words = " ".join(IDENTIFIERS).encode()
+    words = " ".join([*learned, *IDENTIFIERS]).encode()
     return zstandard.ZstdCompressor(level=6, dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT),
                                     write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
-def novelty(before: str, token: str, after: str) -> int:
+def novelty(before: str, token: str, after: str, learned: tuple[str, ...] = ()) -> int:
     """Bytes that the token adds when it is compressed behind its surroundings, which must not hold it themselves."""
-    pack = _compressor().compress
+    pack = _compressor(learned).compress
     around = f"{before}\n{after}\n".replace(token, "").encode()
     return len(pack(around + token.encode())) - len(pack(around))
 
 
-def scan(text: str | None, limits: Limits = Limits()) -> list[tuple[int, int, int, int]]:
-    """(start, index in KINDS, end, added bytes or -1) of each span, by start, then kind."""
+def scan(text: str | None, limits: Limits = Limits(), learned: tuple[str, ...] = ()) -> list[tuple[int, int, int, int]]:
+    """(start, index in KINDS, end, added bytes or -1) of each span, by start, then kind; learned: identifiers beside the fixed ones."""
     if not text:
         return []
     found: list[tuple[int, int, int, int]] = []
@@ -91,7 +102,7 @@ def scan(text: str | None, limits: Limits = Limits()) -> list[tuple[int, int, in
         found += [(at + m.start(), 2, at + m.end(), -1) for m in HEX.finditer(token)]
         left, right = max(0, at - limits.around), run.end() + limits.around
         if SENSITIVE.search(text, left, at) or SENSITIVE.search(text, run.end(), right):
-            added = novelty(text[left:at], token, text[run.end():right])
+            added = novelty(text[left:at], token, text[run.end():right], learned)
             if added >= limits.bar(token):
                 found.append((at, 3, run.end(), added))
     return sorted(found)
@@ -99,9 +110,10 @@ def scan(text: str | None, limits: Limits = Limits()) -> list[tuple[int, int, in
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """One row for each span: id, kind, start, stop (code points), secret (its text) and added_bytes (null but for novel)."""
+    learned = learn_identifiers(docs, text_col)
 
     def spans(ids: list, texts: list) -> Iterator[list]:
-        rows = [(i, KINDS[k], a, b, t[a:b], n if n >= 0 else None) for i, t in zip(ids, texts) for a, k, b, n in scan(t, limits)]
+        rows = [(i, KINDS[k], a, b, t[a:b], n if n >= 0 else None) for i, t in zip(ids, texts) for a, k, b, n in scan(t, limits, learned)]
         return [list(x) for x in zip(*rows)] or [[] for _ in range(6)]
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -111,11 +123,12 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def summarize_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits()) -> DataFrame:
     """One row for each document: counts by kind, a digest of the base spans, and all spans."""
+    learned = learn_identifiers(docs, text_col)
 
     def digest(ids: list, texts: list) -> list[list]:
         out: list[list] = [[], [], [], [], [], [], []]
         for i, t in zip(ids, texts):
-            spans = scan(t, limits)
+            spans = scan(t, limits, learned)
             named = [f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in spans]
             base = ",".join(n for n, s in zip(named, spans) if s[1] < 3)
             counts = [sum(s[1] == k for s in spans) for k in range(4)]

@@ -166,6 +166,18 @@ def test_novelty(docs):
     assert {r["kind"] for r in found} >= {"assign", "access", "hex"} and all(r["secret"] for r in found)
 
 
+def test_learned_identifiers(spark):
+    texts = ["alpha_beta gamma delta1 x", "gamma, alpha_beta; GAMMA tiny", None, "", "gamma " + "z" * 41, "0123abcde4567"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert secrets.learn_identifiers(docs) == ("delta", "abcde", "GAMMA", "alpha_beta", "gamma") and secrets.learn_identifiers(docs, size=2) == ("alpha_beta", "gamma")
+    assert secrets.learn_identifiers(docs.limit(0)) == ()
+    word = "Wohlverhaltensperiodenregelung"
+    assert secrets.novelty("auth ", word, " end", ("Wohlverhaltens", "perioden", "regelung")) < secrets.novelty("auth ", word, " end")
+    key = "Zx81kQ0vB7mNw3TyLp9RsD2f"
+    rows = spark.createDataFrame([(i, f"auth {key} end") for i in range(50)], "doc_id int, text string")
+    assert secrets.summarize_secrets(rows).where("n_novel = 1").count() == 50  # copies don't explain it
+
+
 def test_novelty_of_keys_with_few_digits_and_of_words_behind_or_far():
     rng = random.Random(6)
     letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
