@@ -30,5 +30,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_near_duplicates": near_duplicates.OP5_SQL,
         "op6_mixing": mixing.OP6_SQL,
+        "op7_suffix_repeats": suffix_repeats.OP7_SQL,
         "op8_decontamination": decontamination.OP8_SQL,
     }

@@ -557,3 +557,24 @@ def kept_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of 200-byte strings that start elsewhere too."""
     return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+# Windows are named by a polynomial hash modulo 2^61 - 1; pw has the powers of its base.
+OP7_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS h FROM documents),
+low AS (SELECT 0 AS i, 1::HUGEINT AS p UNION ALL SELECT i + 1, p * 1000003 % 2305843009213693951 FROM low WHERE i < 511),
+high AS (SELECT 0 AS i, 1::HUGEINT AS p UNION ALL SELECT i + 1, p * (SELECT p * 1000003 % 2305843009213693951 FROM low WHERE i = 511) % 2305843009213693951 FROM high
+  WHERE i < (SELECT max(len(h)) // 512 + 1 FROM d)),
+pw AS (SELECT high.i * 512 + low.i AS i, high.p * low.p % 2305843009213693951 AS p FROM low, high),
+top AS (SELECT max(len(h)) AS m FROM d),
+b AS (SELECT rid, unnest(h) AS x, unnest(range(len(h))) AS i FROM d),
+s AS (SELECT rid, i, x, coalesce(sum(('0x' || x)::INT::HUGEINT * p % 2305843009213693951) OVER w, 0) AS upto FROM b JOIN pw USING (i) WINDOW w AS (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT rid, i, x, upto, lead(upto, 199) OVER w AS edge, lead(i, 199) OVER w AS last, lead(('0x' || x)::INT, 199) OVER w AS final FROM s WINDOW w AS (PARTITION BY rid ORDER BY i)),
+k AS (SELECT t.rid, t.i, x, CASE WHEN last IS NOT NULL THEN ((edge + final * e.p % 2305843009213693951 - upto) % 2305843009213693951) * back.p % 2305843009213693951 END AS hash
+  FROM t CROSS JOIN top LEFT JOIN pw e ON e.i = t.last LEFT JOIN pw back ON back.i = m - t.i),
+r AS (SELECT hash FROM k WHERE hash IS NOT NULL GROUP BY hash HAVING count(*) > 1),
+g AS (SELECT rid, i, x, coalesce(max((r.hash IS NOT NULL)::INT) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN 199 PRECEDING AND CURRENT ROW), 0) AS gone FROM k LEFT JOIN r ON k.hash = r.hash),
+f AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY rid ORDER BY i), 0) AS before FROM g),
+a AS (SELECT rid, sum(gone) AS n_removed, sum((gone = 1 AND before = 0)::INT) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (gone = 0) AS kept FROM f GROUP BY rid)
+SELECT doc_id, len(h)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN a USING (rid)
+"""

@@ -99,11 +99,11 @@ def gram_table(ws: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return both % s.buckets, np.bincount(both // s.buckets, minlength=len(ws))
 
 
-def _take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen rows of a ragged array, and how long each is."""
+def _places(starts: np.ndarray, lengths: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the chosen rows of a ragged array lie, and how long each is."""
     n = lengths[which]
     ends = np.cumsum(n)
-    return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - n), n)], n
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[which] - (ends - n), n), n
 
 
 class Lexicon:
@@ -186,7 +186,8 @@ def features(texts: list[str], s: Settings) -> tuple[list[np.ndarray], list[np.n
     lexicon = Lexicon(s)
     owner, word, share = lexicon.bags(texts)
     rows, n = gram_table(lexicon.new_words(), s)
-    grams, many = _take(rows, np.cumsum(n) - n, n, word)
+    at, many = _places(np.cumsum(n) - n, n, word)
+    grams = rows[at]
     both, which = np.unique(np.repeat(owner, many) * s.buckets + grams, return_inverse=True)
     shares = np.bincount(which, np.repeat(share, many), len(both))
     cuts = np.searchsorted(both, np.arange(1, len(texts)) * s.buckets)
@@ -213,13 +214,13 @@ def fit(rows: list[np.ndarray], shares: list[np.ndarray], labels: np.ndarray, s:
     held, learn = order[:len(order) // 8], order[len(order) // 8:]
 
     def forward(which: np.ndarray):
-        at, many = _take(np.arange(len(flat)), starts, n, which)
-        part = share[at, None]
-        mean = np.add.reduceat(params[0][flat[at]] * part, np.cumsum(many) - many) * s.gain
+        at, many = _places(starts, n, which)
+        grams, part = flat[at], share[at, None]
+        mean = np.add.reduceat(params[0][grams] * part, np.cumsum(many) - many) * s.gain
         logits = mean @ params[1] + no_evidence
         logits -= logits.max(1, keepdims=True)
         p = np.exp(logits)
-        return flat[at], part, many, mean, p / p.sum(1, keepdims=True)
+        return grams, part, many, mean, p / p.sum(1, keepdims=True)
 
     def loss(which: np.ndarray) -> float:
         p = np.concatenate([forward(which[i:i + 512])[-1][:, 1] for i in range(0, len(which), 512)])

@@ -479,6 +479,16 @@ def test_repeats(docs, rows, options):
     assert got == Counter((r[0], *x) for r, x in zip(rows, brute_repeats([r[1] for r in rows], s.length)))
 
 
+def test_repeats_against_sql(spark):
+    from quillspark.llm import registry
+
+    con = duckdb.connect()
+    con.execute("create view documents as select * from '/root/testdata/sf0.001/documents.parquet'")
+    out = suffix_repeats.op7_suffix_repeats(spark, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert Counter(tuple(r) for r in out.collect()) == Counter(con.execute(registry.oracle_sql()["op7_suffix_repeats"]).fetchall())
+
+
 def test_repeats_on_a_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     data = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
