@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.operators.records import with_safe_tool_name
+
 
 @dataclass
 class Tool:
@@ -86,6 +88,28 @@ def tool_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "role string, tool string, pos int, schema string")
 
 
+def tool_catalog(spark: SparkSession, servers: list[str], list_tools: Callable[[str], list[dict]]) -> DataFrame:
+    """server_pos, server, kind, name, tool_key and description of every server's tools; a server that fails is left out.
+
+    list_tools gives a server's tools as {"name", "description"}; it is called on the driver, once for each server.
+    """
+    rows = []
+    for pos, server in enumerate(servers):
+        try:
+            found = list_tools(server)
+        except Exception:  # noqa: BLE001  whatever a connection raises
+            continue
+        rows += [(pos, server, t["name"], t.get("description") or "") for t in found]
+    out = spark.createDataFrame(rows, "server_pos int, server string, name string, description string")
+    return with_safe_tool_name(out, "name").select("server_pos", "server", server_kind("server").alias("kind"), "name", "tool_key", "description")
+
+
+def server_kind(c: Column | str) -> Column:
+    """How a server is reached: a .py or .js file is run and spoken to by its standard streams, an address by events over HTTP; null for others."""
+    c = c if isinstance(c, Column) else F.col(c)
+    return F.when(c.endswith(".py"), F.lit("python")).when(c.endswith(".js"), F.lit("node")).when(c.startswith("http"), F.lit("http"))
+
+
 def tool_loop(model: Callable[[list[dict]], dict], registry: Registry, system: str, user: str, turns: int = 20) -> str:
     """Messages to and fro until the model calls no tool; its latest filled text when the turns run out.
 

@@ -90,6 +90,14 @@ CASE event_type WHEN 'view' THEN props WHEN 'click' THEN 'pixels' WHEN 'signup'
     "role_tools": f"SELECT * FROM (VALUES {_values([(r, t, i, ','.join(TOOL_ARGUMENTS[t][1])) for r in ROLE_TOOLS for i, t in enumerate(role_tools(r))])}) AS t(role, tool, pos, required)",
     "tool_lists": """WITH t AS (SELECT CASE WHEN page_id % 2 = 0 THEN 'open' ELSE 'papers' END AS server, 'tool-' || page_id AS name FROM pages)
 SELECT *, 0 AS list_pos FROM t WHERE server = 'open' UNION ALL SELECT *, 1 FROM t WHERE server = 'papers' AND name IN ('tool-1', 'tool-3') UNION ALL SELECT *, 2 FROM t WHERE name = 'tool-1'""",
+    "tool_catalog": """SELECT * FROM (VALUES (0, 'a.py', 'python', 'read-a.py', 'read_a.py', 'reads'), (0, 'a.py', 'python', 'ask', 'ask', ''), (2, 'http://c', 'http', 'read-http', 'read_http', 'reads'),
+(2, 'http://c', 'http', 'ask', 'ask', ''), (3, 'b.py', 'python', 'read-b.py', 'read_b.py', 'reads'), (3, 'b.py', 'python', 'ask', 'ask', '')) AS t(server_pos, server, kind, name, tool_key, description)""",
+    "server_kinds": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'http' WHEN 1 THEN 'python' WHEN 2 THEN 'node' END AS kind FROM pages",
+    "settings_file": """SELECT * FROM (VALUES ('model', '"m 1"'), ('rounds', '10'), ('library', '{"used":true}'), ('roots', '["a","b"]'), ('empty', 'null')) AS t(key, value)""",
+    "stored_contracts": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'stored ' || text ELSE lang END AS contract FROM documents",
+    "session_lookup": """WITH live AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 2 = 0)
+SELECT event_id, user_id AS conv_id, CASE WHEN l.conv_id IS NOT NULL THEN 'live' ELSE 'created' END AS on_demand, CASE WHEN l.conv_id IS NOT NULL THEN 'live' ELSE 'missing' END AS status
+FROM events LEFT JOIN live l ON l.conv_id = user_id""",
     "merged_records": """SELECT event_id, event_type AS type, CASE WHEN event_id % 2 = 0 THEN 'x' ELSE user_id::VARCHAR END AS user, 'm' AS mode, CASE WHEN event_id % 2 = 0 THEN 4 ELSE 3 END AS n FROM events""",
     "elapsed": "SELECT event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1e6::DOUBLE AS seconds FROM events",
     "retried_replies": "SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN 're: ' || source || ' ' || doc_id END AS reply FROM documents",

@@ -260,6 +260,46 @@ def tool_lists(spark: SparkSession, d: str) -> DataFrame:
     return records.all_tools(kept.where("server = 'open'"), kept.where("server = 'papers'"), kept.where("name = 'tool-1'"))
 
 
+def tool_catalog(spark: SparkSession, d: str) -> DataFrame:
+    """The tools of four servers, of which one can't be reached."""
+    def list_tools(server: str) -> list[dict]:
+        if server.endswith(".js"):
+            raise ConnectionError(server)
+        return [{"name": f"read-{server[:4]}", "description": "reads"}, {"name": "ask"}]
+
+    return tools.tool_catalog(spark, ["a.py", "b.js", "http://c", "b.py"], list_tools)
+
+
+def server_kinds(spark: SparkSession, d: str) -> DataFrame:
+    """How servers would be reached; pages' addresses and file names stand for them."""
+    k = F.col("page_id") % 4
+    server = F.when(k == 0, F.col("url")).when(k == 1, F.lit("tool.py")).when(k == 2, F.lit("dir/tool.js")).otherwise(F.lit("tool.exe"))
+    return _read(spark, d, "pages").select("page_id", tools.server_kind(server).alias("kind"))
+
+
+def settings_file(spark: SparkSession, d: str) -> DataFrame:
+    """Settings of a YAML file."""
+    path = f"{_folder(spark, 'settings')}/settings.yaml"
+    write_bytes(spark, path, b"model: 'm 1'\nrounds: 10\nlibrary:\n  used: true\nroots: [a, b]\nempty:\n")
+    return files.settings_frame(spark, path, needed=("model", "rounds"))
+
+
+def stored_contracts(spark: SparkSession, d: str) -> DataFrame:
+    """Contracts read again where they are stored, as every third is."""
+    path = _folder(spark, "stored-contracts")
+    docs = _read(spark, d, "documents")
+    files.write_contracts(docs.where("doc_id % 3 = 0").select("doc_id", F.concat(F.lit("stored "), F.col("text")).alias("contract")), path)
+    return files.stored_contracts(docs.select("doc_id", F.col("lang").alias("contract")), path, "doc_id", "contract")
+
+
+def session_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Requests for sessions that are there, and for others."""
+    asked = _read(spark, d, "events").select("event_id", F.col("user_id").alias("conv_id"))
+    live = _read(spark, d, "conversations").where("conv_id % 2 = 0")
+    made = sessions.session_status(asked, live, "conv_id", create=True).withColumnRenamed("status", "on_demand")
+    return sessions.session_status(made, live, "conv_id", create=False)
+
+
 def merged_records(spark: SparkSession, d: str) -> DataFrame:
     """Defaults, an event's own fields and extra ones, the last of each name kept."""
     own = F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"))
@@ -419,5 +459,5 @@ def stream_poll(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     found = (workflow_match_paths, workflow_files, skill_catalog, skill_brief, skill_load, manifest_files, manifest_brief, query_texts, prompt_templates, node_folders, contract_files, summary_files,
              contract_fields, viewer_nodes, max_depths, completed_subtasks, node_records, critic_inputs, loop_fallbacks, reply_variants, page_answers, clean_traces, scope_brief, tool_content, role_tools, tool_lists,
-             merged_records, elapsed, retried_replies, model_fallback, replayed_replies, model_settings, tool_loops, prior_filtered, fetch_fallback, pdf_pages, token_windows, stream_items, session_state, stream_poll)
+             tool_catalog, server_kinds, settings_file, stored_contracts, session_lookup, merged_records, elapsed, retried_replies, model_fallback, replayed_replies, model_settings, tool_loops, prior_filtered, fetch_fallback, pdf_pages, token_windows, stream_items, session_state, stream_poll)
     return {f.__name__: f for f in found}

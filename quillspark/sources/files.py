@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +41,25 @@ def load_settings(path: str, required: bool = True, needed: tuple[str, ...] = ()
     return found
 
 
+def settings_frame(spark: SparkSession, path: str, needed: tuple[str, ...] = ()) -> DataFrame:
+    """key and value (JSON text) of a YAML mapping at any path that Spark reads; `needed` keys must be filled."""
+    if yaml is None:
+        raise RuntimeError("settings need the yaml module")
+    rows = query_files(spark, path).limit(1).collect()
+    found = (yaml.safe_load(rows[0]["text"]) if rows else None) or {}
+    empty = [k for k in needed if not found.get(k)]
+    if empty:
+        raise ValueError(f"settings without {', '.join(empty)}")
+    return spark.createDataFrame([(str(k), json.dumps(v, ensure_ascii=False, separators=(",", ":"), default=str)) for k, v in found.items()], "key string, value string")
+
+
+def stored_contracts(passed: DataFrame, path: str, key: str, text: str) -> DataFrame:
+    """Contracts as they are stored below path, JSON lines of key and text, where they are; else as they were passed."""
+    kind = passed.schema[key].dataType.simpleString()
+    stored = passed.sparkSession.read.schema(f"`{key}` {kind}, `{text}` string").json(path).select(F.col(key).alias("_key"), F.col(text).alias("_stored"))
+    return passed.join(stored, passed[key] == F.col("_key"), "left").withColumn(text, F.coalesce("_stored", text)).drop("_key", "_stored")
+
+
 def ndjson(lines: DataFrame, schema: str | T.StructType, line: str = "value") -> DataFrame:
     """Each line that isn't blank, parsed: line, record, and bad where it isn't JSON of the schema. Works on streams too."""
     kind = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)

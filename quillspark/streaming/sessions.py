@@ -67,6 +67,13 @@ def open_sessions(events: DataFrame, session: str, seq: str, value: str, termina
     return chosen.groupBy(session).applyInPandasWithState(walk, f"{session} {kind(session)}, {seq} {kind(seq)}, {value} {kind(value)}", "ended boolean", "append", GroupStateTimeout.NoTimeout)
 
 
+def session_status(requests: DataFrame, live: DataFrame, session: str, create: bool) -> DataFrame:
+    """requests with status: live where the session is there; else created, where sessions are made on demand, or missing."""
+    known = live.select(F.col(session).alias("_known")).distinct()
+    found = requests.join(known, requests[session] == F.col("_known"), "left")
+    return found.withColumn("status", F.when(F.col("_known").isNotNull(), F.lit("live")).otherwise(F.lit("created" if create else "missing"))).drop("_known")
+
+
 def run_available(stream: DataFrame, name: str, checkpoint: str | None = None) -> DataFrame:
     """Run a stream over all that is there now and return its rows from memory; each is read once for a checkpoint."""
     writer = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True)
