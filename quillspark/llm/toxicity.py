@@ -95,7 +95,9 @@ def gram_table(ws: list[str], s: Settings) -> tuple[np.ndarray, np.ndarray]:
             found.append(h[whole])
             of.append(owner[:len(h)][whole])
     row = (_mix(np.concatenate(found)) % np.uint64(s.buckets)).astype(np.int64)
-    both = np.unique(np.concatenate(of) * s.buckets + row)
+    both = np.concatenate(of) * s.buckets + row
+    both.sort()
+    both = both[np.r_[True, both[1:] != both[:-1]]]
     return both % s.buckets, np.bincount(both // s.buckets, minlength=len(ws))
 
 
@@ -131,11 +133,9 @@ class Lexicon:
         ids: list[int] = []
         lengths = []
         for text in texts:
-            before = len(ids)
-            for token in (text or "").lower().split():
-                at = get(token)
-                ids.append(add(token) if at is None else at)
-            lengths.append(len(ids) - before)
+            tokens = (text or "").lower().split()
+            ids += [add(t) if (at := get(t)) is None else at for t in tokens]
+            lengths.append(len(tokens))
         word, owner = np.array(ids, np.int64), np.repeat(np.arange(len(texts)), lengths)
         long = np.flatnonzero(word < -1)
         if len(long):
