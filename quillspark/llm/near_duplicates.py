@@ -96,7 +96,8 @@ def shingles(text: str | None) -> np.ndarray:
     out = np.full(len(h) - n + 1, n, np.uint64)
     for k in range(n):
         out = _scramble(out ^ h[k:len(h) - n + 1 + k]) + np.uint64(k + 1)
-    return np.unique(out)
+    out.sort()
+    return out[np.r_[True, out[1:] != out[:-1]]]  # far faster than np.unique(), which hashes
 
 
 class SetSketch:
