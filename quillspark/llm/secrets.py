@@ -22,7 +22,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import map_columns, table
+from quillspark.llm.common import discard, map_columns, materialize, table
 
 KINDS = ("assign", "access", "hex", "novel")
 
@@ -63,13 +63,24 @@ class Limits:
 
 
 def learn_identifiers(docs: DataFrame, text_col: str = "text", size: int = 4000, shortest: int = 5, longest: int = 40) -> tuple[str, ...]:
-    """The `size` most frequent words of letters and _ in all texts, the rarest first, ties by the word; size is a bound on what comes to the driver.
+    """The most frequent words of letters and _ in all texts, at most `size`, the rarest first, ties by the word.
 
-    Words with digits are left out: a key that many copies of a text hold must not explain itself.
+    Words with digits are left out: a key that many copies of a text hold must not explain itself. All words are counted by hash; those
+    of the chosen counts are then read. Counts fall into steps of a fiftieth of their logarithm, and the last step is left out whole if it doesn't fit.
     """
     words = docs.select(F.explode(F.split(F.col(text_col), r"[^A-Za-z_]+")).alias("word")).where(F.length("word").between(shortest, longest))
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return tuple(r["word"] for r in reversed(top.collect()))
+    counts = materialize(words.select(F.xxhash64("word").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "word-counts")
+    step = F.floor(F.log("n") * F.lit(50.0)).cast("int")
+    room, least = size, 2**31 - 1
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True):  # some hundred rows
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["step"]
+    chosen = F.broadcast(counts.where(step >= least))  # at most size rows
+    found = words.join(chosen, F.xxhash64("word") == F.col("key")).groupBy("key", "n").agg(F.min("word").alias("word")).collect()
+    discard(counts)
+    return tuple(r["word"] for r in sorted(found, key=lambda r: (-r["n"], r["word"]))[::-1])
 
 
 @lru_cache(maxsize=2)
