@@ -490,7 +490,11 @@ def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def strings(hashes: list, contexts_: list, ns: list, befores: list, afters: list, rights: list, lefts: list) -> list:
         out = []
         for h, c, n, before, after, ahead, behind in zip(hashes, contexts_, ns, befores, afters, rights, lefts):
-            ends = {(m, k) for k in ahead for m in behind if m + k >= s.length}
+            # The anchor is one in all occurrences if it is one by a window inside the string; others are shown by other anchors.
+            g = Hashes(np.frombuffer(before[::-1] + after, np.uint8)).of(*(np.arange(len(before) + len(after) - s.gram + 1) + k for k in (0, s.gram)))
+            p = len(before)
+            a, b = (int(np.argmax(np.r_[side < g[p], True])) for side in (g[:p][::-1], g[p + 1:]))
+            ends = {(m, k) for k in ahead for m in behind if m + k >= s.length and min(m, a) + min(k - s.gram, b) >= s.left}
             if n > 1 and len(before) + len(after) >= s.length:  # the whole context repeats
                 ends.add((len(before), len(after)))
             for m, k in ends:
