@@ -2,13 +2,17 @@
 
 import json
 import random
+import subprocess
+import sys
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import jsonx, text
 from quillspark.operators import catalog, contracts, graphs, matching, records, refine, tools
+from quillspark.scratch import shared_root
 from quillspark.sources import external, files
 from quillspark.streaming import sessions
 
@@ -412,3 +416,24 @@ def test_live_loop_falls_back(spark, tmp_path):
     critique = lambda df: df.withColumn("decision", F.lit("complete")).withColumn("reward", F.lit(0.0)).withColumn("summary", F.lit(""))
     refine.run_live(tasks, solve, critique, 1, store, describe)
     assert seen == [("do it", '{"error":"no tool"}')]
+
+
+def test_shared_folder_is_left_empty(tmp_path):
+    code = (
+        "from quillspark.session import build_session\n"
+        f"s = build_session('local[2]', shuffle_partitions=2, driver_memory='1g', spark_checkpoint_dir='{tmp_path}/shared')\n"
+        "from quillspark.plans import record_queries as r\n"
+        "assert r.summary_files(s, '/root/testdata/sf0.001').count() and r.stream_poll(s, '/root/testdata/sf0.001').count()\n"
+        "s.stop()\n"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[1], check=True, timeout=240, capture_output=True)
+    assert [p for p in (tmp_path / "shared").rglob("*") if p.is_file()] == []
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077", "applicationId": "x"})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_root(Session)
