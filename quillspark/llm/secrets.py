@@ -32,6 +32,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run of 24 or more is what [0-9a-f]+ find
 LONG = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")  # every hex span, access key and novel token lies in such a run
 SENSITIVE = re.compile(r"pass|secret|token|api|key|auth|bearer|cred|private|access|session|signature|jwt|sas|pwd|aws", re.IGNORECASE | re.ASCII)
 
+NO_LETTER = r"[\x00-\x40\x5B-\x5E\x60\x7B-\x7F]+"  # ASCII but for letters and _
+
 # Identifiers and words that stand around secrets in code and configuration.
 IDENTIFIERS = (
     "password", "passwd", "secret", "token", "api_key", "apikey", "access_key", "access_token", "refresh_token", "client_id",
@@ -68,7 +70,8 @@ def learn_identifiers(docs: DataFrame, text_col: str = "text", size: int = 4000,
     Words with digits are left out: a key that many copies of a text hold must not explain itself. All words are counted by hash; those
     of the chosen counts are then read. Counts fall into steps of a fiftieth of their logarithm, and the last step is left out whole if it doesn't fit.
     """
-    words = docs.select(F.explode(F.split(F.col(text_col), r"[^A-Za-z_]+")).alias("word")).where(F.length("word").between(shortest, longest))
+    # The outer form keeps Spark from splitting each text twice more for a test that it has words.
+    words = docs.select(F.explode_outer(F.split(F.col(text_col), NO_LETTER)).alias("word")).where(F.octet_length("word").between(shortest, longest))
     counts = materialize(words.select(F.xxhash64("word").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n")), "word-counts")
     step = F.floor(F.log("n") * F.lit(50.0)).cast("int")
     room, least = size, 2**31 - 1
