@@ -1,6 +1,7 @@
 """Rules of single operators on hand-made edge rows, against plain Python where SQL has no form."""
 
 import json
+import math
 import random
 import subprocess
 import sys
@@ -360,6 +361,33 @@ def test_nearest_in_blocks(spark, monkeypatch):
     assert matching.nearest(rows.limit(0), rows, "id", "v", "id", "v").count() == 0
 
 
+def test_nearest_meets_chunks_as_matrices(spark):
+    r = random.Random(5)
+    base = [[r.gauss(0, 1) for _ in range(8)] for _ in range(150)]
+    rows = [(f"{i:x}", v) for i, v in enumerate(base + base[:40] * 9 + [[2.5 * x for x in v] for v in base[:10]])]
+    rows += [("null", None), ("none", []), ("zero", [0.0] * 8), ("minus", [-0.0] * 8), ("hole", [None] + [1.0] * 7), ("short", [1.0, 2.0]), ("short too", [2.0, 1.0]), ("tiny", [1e-120] * 8), ("huge", [1e100] * 8)]
+    df = spark.createDataFrame(rows, "id string, v array<double>").repartition(5)
+
+    def cosine(a, b):
+        if not a or not b or len(a) != len(b) or None in a + b:
+            return None
+        dot = lambda x, y: sum(p * q for p, q in zip(x, y))
+        norm = math.sqrt(dot(a, a)) * math.sqrt(dot(b, b))
+        return dot(a, b) / norm if norm else None
+
+    want = set()
+    for q, a in rows:
+        near = sorted((-round(s, 9), c) for c, b in rows if (s := cosine(a, b)) is not None)
+        want |= {(q, -s, rank) for rank, (s, _) in enumerate(near[:6], 1)}
+    found = matching.nearest(df, df, "id", "v", "id", "v", 6)
+    assert "Loop" not in found._jdf.queryExecution().toString()  # pair by pair in the JVM it took half a minute for two million pairs
+    got = found.collect()
+    assert {(x["query"], round(x["similarity"], 9), x["rank"]) for x in got} == want
+    vectors = dict(rows)
+    copies = lambda q: sorted(c for c, v in rows if v == vectors[q])[:6]
+    assert [x["chunk"] for x in sorted(got, key=lambda x: x["rank"]) if x["query"] == "14"] == copies("14")
+
+
 def test_prior_search_formats_and_filters(spark):
     chunks = spark.createDataFrame([(1, "s", 1, "c", "2.1", "One here", [1.0, 0.0]), (2, "s", 2, "c", "2.10", "two", [1.0, 0.1]), (3, "t", 1, None, "21", "three", [0.9, 0.0])],
                                    "chunk_id int, source_id string, pos int, chapter string, section string, text string, embedding array<double>")
