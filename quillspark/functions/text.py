@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
+from html.entities import html5
 from html.parser import HTMLParser
 from string import Formatter
 
@@ -208,23 +210,32 @@ class _Shown(HTMLParser):
             self.texts.append(data)
 
 
-def html_text(page: str | None) -> str | None:
-    """Shown text of any page, however malformed: lines stripped, empty ones dropped."""
+REFERENCE = re.compile(r"&(#[0-9]+;|#[xX][0-9a-fA-F]+;|[a-zA-Z0-9]+;)?")
+BARE = "\udc26"  # stands for & while a page is parsed; no valid text has it
+
+
+def html_text(page: str | None, unclosed: bool = True) -> str | None:
+    """Shown text of any page, however malformed: lines stripped, empty ones dropped.
+
+    References such as &amp without a semicolon are read too, as browsers do; with unclosed=False they stay as they are.
+    """
     if page is None:
         return None
+    if not unclosed:
+        page = REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else BARE + m[0][1:], page)
     parser = _Shown()
     parser.feed(page)
     parser.close()
-    lines = (line.strip() for text in parser.texts for line in text.splitlines())
+    lines = (line.strip() for text in parser.texts for line in text.replace(BARE, "&").splitlines())
     return "\n".join(line for line in lines if line)
 
 
-def html_to_text(c: Column | str) -> Column:
+def html_to_text(c: Column | str, unclosed: bool = True) -> Column:
     """html_text() over Arrow batches."""
 
     @F.pandas_udf("string")
     def convert(pages: pd.Series) -> pd.Series:
-        return pages.map(html_text)
+        return pages.map(lambda page: html_text(page, unclosed))
 
     return convert(_col(c))
 

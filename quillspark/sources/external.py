@@ -122,15 +122,15 @@ def replay(prompts: DataFrame, prompt: str, recorded: DataFrame, reply: str = "r
     return prompts.join(known, prompt_key(prompt) == F.col("_key"), "left").drop("_key")
 
 
-def fetch_text(pages: DataFrame, url: str, direct: str, fallback: str | None = None) -> DataFrame:
+def fetch_text(pages: DataFrame, url: str, direct: str, fallback: str | None = None, unclosed: bool = True) -> DataFrame:
     """pages with route (pdf or html), body (the direct fetch or else the fallback, at most 2 MiB) and page_text.
 
-    A PDF has no text here, as no PDF reader is at hand.
+    A PDF has no text here, as no PDF reader is at hand. unclosed: as for html_text().
     """
     body = F.coalesce(F.col(direct), F.col(fallback)) if fallback else F.col(direct)
     capped = F.make_valid_utf8(F.substring(F.encode(body, "UTF-8"), 1, PAGE_BYTES).cast("string"))
     out = pages.withColumn("route", route_page(F.col(url))).withColumn("body", capped)
-    return out.withColumn("page_text", F.when((F.col("route") == "html") & ~is_pdf(F.col(url), F.col("body")), html_to_text("body")))
+    return out.withColumn("page_text", F.when((F.col("route") == "html") & ~is_pdf(F.col(url), F.col("body")), html_to_text("body", unclosed)))
 
 
 def read_and_ask(pages: DataFrame, url: str, direct: str, question: str, ask: Callable[[DataFrame, str], DataFrame], model_chars: int = FALLBACK_CHUNK_CHARS) -> DataFrame:

@@ -63,6 +63,15 @@ def test_html(spark, page, want):
     assert one(spark, text.html_to_text("t"), t=page) == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<title>a&amp</title><p>&quot;b&quot</p>", 'a&amp\n"b&quot'), ("<p>&amp;&am &a&lt b&</p>", "&&am &a&lt b&"), ("<script>&amp</script><p>&#39;&#39 &amp;amp;</p>", "'&#39 &amp;"), ("&notit;&", "&notit;&"),
+])
+def test_html_with_unclosed_references(spark, page, want):
+    assert text.html_text(page, unclosed=False) == want
+    assert one(spark, text.html_to_text("t", unclosed=False), t=page) == one(spark, text.html_to_text_sql("t"), t=page) == want
+    assert text.html_text("<p>a&amp b&lt</p>") == "a& b<"  # as the parser of the reference has it
+
+
 def test_html_null():
     assert text.html_text(None) is None
 
