@@ -5,7 +5,7 @@ words is a context restaurant of its own; all others share `classes` restaurants
 restaurant of words without context, whose base is uniform over the words seen in training and one more for all others. An
 end is a word too.
 
-Seating is sampled by Gibbs. A sweep takes customers of every cell (a word in a context), removes them from their tables and seats each
+Seating is sampled by Gibbs. A sweep takes the customers of every cell (a word in a context), all of them and in random order, removes each from its table and seats it
 anew given all others: at a table by its size less the discount, or at a new one by what the parent predicts. A table that opens or
 closes sends a customer to the parent or takes one from it, and the parent's own customers are then moved alike. Cells of all words move at once,
 given the restaurants' totals and the parent as the sweep before left them. A cell of one customer has one table and needs no
@@ -13,7 +13,7 @@ move. Each sweep after the first `burn_in` gives a sample, and predictions are a
 word, context, sweep and step, so neither the partitions nor a lost executor change a score.
 
 Texts are turned into word numbers once, a slice of rows at a time. Words are dealt into buckets; a frequent word's cells are dealt
-by context too, as its parent's seats are kept by the driver. All that a sweep shares is one vector over contexts and frequent
+by context too, as its parent's seats are kept by the driver, which has tasks sweep them. All that a sweep shares is one vector over contexts and frequent
 words, which is summed in chunks. What is learned covers all training rows, stays distributed and grows with the corpus: a row
 for each bucket, and a bucket has about `bucket_tokens` tokens at most.
 
@@ -48,14 +48,14 @@ END = b""  # no word of a text is empty
 @dataclass(frozen=True)
 class Settings:
     """common, classes: contexts of their own, and shared ones; sweeps: Gibbs sweeps, of which the first burn_in give no sample; moves: the most customers of a
-    cell that one sweep seats anew, drawn at random; strength: concentration of every restaurant; slice_rows, slice_tokens,
+    cell that one sweep seats anew, drawn at random, None for all; strength: concentration of every restaurant; slice_rows, slice_tokens,
     bucket_tokens: about how much is worked on together."""
 
     common: int = 1 << 18
     classes: int = 4096
     sweeps: int = 4
     burn_in: int = 1
-    moves: int = 8
+    moves: int | None = None
     strength: float = 1.0
     slice_rows: int = 2048
     slice_tokens: int = 1_000_000
@@ -176,15 +176,24 @@ class Contexts:
 # Seating
 
 
-def uniform(names: np.ndarray, *salt: int) -> np.ndarray:
-    """A number in [0, 1) for each name, by hash."""
+def _salted(*salt: int) -> np.uint64:
     x = np.uint64(0)
     with np.errstate(over="ignore"):
         for s in salt:
             x = _mix(np.array([x ^ np.uint64(s + 1)], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
+    return x
+
+
+def _draw(names: np.ndarray, x: np.uint64) -> np.ndarray:
+    with np.errstate(over="ignore"):
         return (_mix(_mix(names ^ x) + x) >> np.uint64(11)) * 2.0**-53
 
 
+def uniform(names: np.ndarray, *salt: int) -> np.ndarray:
+    """A number in [0, 1) for each name, by hash."""
+    return _draw(names, _salted(*salt))
+
+
 def grow(customers: np.ndarray, pull: np.ndarray, discount: float, names: np.ndarray, *salt: int) -> tuple[np.ndarray, np.ndarray]:
     """Tables of each cell and their sizes, one cell's after the other's, to begin with.
 
@@ -307,17 +316,107 @@ def _change(tables: np.ndarray, sizes: np.ndarray, change: np.ndarray, pull: np.
     return _put(tables, sizes, at, *_change(tables[at], _pick(tables, sizes, at), rest, pull[at], discount, names[at], salt, done + steps, 2 * steps))
 
 
-def sweep_cells(tables: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, pull: np.ndarray, discount: float, names: np.ndarray, moves: int, *salt: int) -> tuple[np.ndarray, np.ndarray]:
-    """One sweep over cells: customers join or leave until there are `wanted`, and up to `moves` of each are seated anew."""
+TOGETHER = 4_000_000  # customers that are reseated together, or a cell's if it has more
+FEW = 300  # cells from which on an array of all is faster than each by itself
+GOLDEN = 0x9E3779B97F4A7C15
+AHEAD = 1 << 16  # moves of one cell for which numbers are drawn together
+
+
+def _reseat(tables: np.ndarray, sizes: np.ndarray, pull: np.ndarray, discount: float, names: np.ndarray, moves: int | None, salt: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """The customers of each cell, all or `moves` of them, leave in random order, and each is seated anew before the next one leaves.
+
+    Whoever sits down follows any other customer, each as likely as another, to that one's table of n with probability 1 - discount / n, and
+    else draws again, also whether to open a table: that is the law by sizes less the discount, without adding up a cell's tables.
+    """
+    owner = np.repeat(np.arange(len(tables)), tables)
+    customers = np.bincount(owner, sizes, len(tables)).astype(np.int64)
+    start, first = np.cumsum(customers) - customers, np.cumsum(tables) - tables
+    slots = start[owner] + np.arange(len(owner)) - first[owner]  # a cell has room for as many tables as customers
+    seats = np.repeat(slots, sizes).astype(np.int32)  # by customer
+    n = np.zeros(len(seats), np.int32)  # by slot
+    n[slots] = sizes
+    free = np.arange(len(seats), dtype=np.int32)  # of each cell, from the place that its number of tables gives
+    order = np.argsort(-customers, kind="stable")
+    o, c, t, pulls, keys = start[order], customers[order], tables[order].copy(), pull[order], names[order]
+    limit = np.where(c > 1, c if moves is None else np.minimum(c, moves), 0)  # a sole customer has one table
+    salts = [_salted(*salt, i) for i in range(2, 8)]
+    salt_of = lambda i: salts[i] if i < len(salts) else _salted(*salt, i + 2)
+    k, m = 0, int((limit > 0).sum())
+    while m >= FEW:
+        at, many, drawn = o[:m], c[:m], _mix(keys[:m] + np.uint64(k * GOLDEN % 2**64))
+        who = at + k + (_draw(drawn, salts[0]) * (many - k)).astype(np.int64)
+        left = seats[who]
+        seats[who] = seats[at + k]
+        n[left] -= 1
+        closed = np.flatnonzero(n[left] == 0)
+        t[closed] -= 1
+        free[at[closed] + t[closed]] = left[closed]
+        to = np.full(m, -1, np.int64)
+        todo, i = np.arange(m), 1
+        while len(todo):
+            v = _draw(drawn[todo], salt_of(i)) * (pulls[todo] + (many[todo] - 1)) - pulls[todo]
+            other = np.clip(np.floor(v), 0, many[todo] - 2).astype(np.int64)
+            table = seats[at[todo] + other + (other >= k)]
+            follows = (v >= 0) & (v - other >= discount / np.maximum(n[table], 1))
+            to[todo[follows]] = table[follows]
+            todo, i = todo[(v >= 0) & ~follows], i + 1
+        opens = np.flatnonzero(to < 0)
+        to[opens] = free[at[opens] + t[opens]]
+        t[opens] += 1
+        n[to] += 1
+        seats[at + k] = to
+        k += 1
+        m = int(np.searchsorted(-limit, -k, side="left"))
+    for x in range(m):
+        mine = slice(o[x], o[x] + c[x])
+        t[x] = _reseat_one(seats[mine] - o[x], n[mine], free[o[x] + t[x]:o[x] + c[x]] - o[x], int(t[x]), float(pulls[x]), discount, keys[x], k, int(limit[x]), salt_of)
+    tables = np.empty_like(t)
+    tables[order] = t
+    return tables, n[n > 0].astype(np.int64)
+
+
+def _reseat_one(seats: np.ndarray, n_: np.ndarray, free_: np.ndarray, t: int, pull: float, discount: float, key: np.uint64, begin: int, end: int, salt_of: Callable[[int], np.uint64]) -> int:
+    """Moves begin to end of one cell, as _reseat() makes them; n_ is changed, and the number of tables is returned."""
+    c, n, seat, free = len(seats), n_.tolist(), seats.tolist(), free_[::-1].tolist()
+    for low in range(begin, end, AHEAD):
+        drawn = _mix(key + np.arange(low, min(end, low + AHEAD), dtype=np.uint64) * np.uint64(GOLDEN))
+        tries = [_draw(drawn, salt_of(i)).tolist() for i in range(3)]
+        for k, u, v in zip(range(low, end), tries[0], tries[1]):
+            who = k + int(u * (c - k))
+            left = seat[who]
+            seat[who] = seat[k]
+            n[left] -= 1
+            if not n[left]:
+                free.append(left)
+                t -= 1
+            i = 1
+            while True:
+                v = v * (pull + (c - 1)) - pull
+                if v < 0:
+                    to = free.pop()
+                    t += 1
+                    break
+                other = min(int(v), c - 2)
+                to = seat[other + (other >= k)]
+                if v - other >= discount / n[to]:
+                    break
+                i += 1
+                v = tries[2][k - low] if i == 2 else float(_draw(drawn[k - low:k - low + 1], salt_of(i))[0])
+            n[to] += 1
+            seat[k] = to
+    n_[:] = n
+    return t
+
+
+def sweep_cells(tables: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, pull: np.ndarray, discount: float, names: np.ndarray, moves: int | None, *salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """One sweep over cells: customers join or leave until there are `wanted`, and all of each cell, or up to `moves`, are seated anew."""
     owner = np.repeat(np.arange(len(tables)), tables)
     change = wanted - np.bincount(owner, sizes, len(tables)).astype(np.int64)
     tables, sizes = _change(tables, sizes, change, pull, discount, names, salt)
-    s = Seating(tables, sizes, np.minimum(moves, wanted) + 1)
-    for k in range(min(moves, int(wanted.max(initial=0)))):
-        at = np.flatnonzero(wanted > max(k, 1))  # a sole customer has one table
-        s.remove(at, uniform(names[at], *salt, k, 2))
-        s.add(at, uniform(names[at], *salt, k, 3), pull[at], discount)
-    return s.tables, s.sizes()
+    ends = np.r_[0, np.flatnonzero(np.diff((np.cumsum(wanted) - wanted) // TOGETHER)) + 1, len(tables)]
+    places = np.r_[0, np.cumsum(tables)]
+    done = [_reseat(tables[a:b], sizes[places[a]:places[b]], pull[a:b], discount, names[a:b], moves, salt) for a, b in zip(ends, ends[1:])]
+    return tuple(np.concatenate(x) for x in zip(*done))
 
 
 # What all words share
@@ -678,6 +777,26 @@ def sweep(states: DataFrame, before: Shared, contexts: Contexts, s: Settings, nu
     return materialize(_map(states.where("bucket is not null").select("bucket", "state"), run, STATE), "sweep")
 
 
+def sweep_common(spark: SparkSession, tables: np.ndarray, sizes: np.ndarray, wanted: np.ndarray, st: Shared, names: np.ndarray, s: Settings, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """sweep_cells() of the parent for the common words, whose customers grow with the corpus: some of the words in each task."""
+    if not len(wanted):
+        return tables, sizes
+    ends = np.r_[0, np.flatnonzero(np.diff((np.cumsum(wanted) - wanted) // max(1, s.bucket_tokens // 4))) + 1, len(wanted)]
+    places = np.r_[0, np.cumsum(tables)]
+    rows = [(i, bytearray(pack(narrow(tables[a:b]), narrow(sizes[places[a]:places[b]]), narrow(wanted[a:b]), names[a:b]))) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
+    pull, discount, moves, seed = st.top_pull, st.top_discount, s.moves, s.seed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+        for part, data in _rows(batches):
+            t, n, w, keys = unpack(data)
+            t, n = sweep_cells(t.astype(np.int64), n.astype(np.int64), w.astype(np.int64), np.full(len(t), pull), discount, keys, moves, seed, number, 1)
+            yield [[part], [pack(narrow(t), narrow(n))]]
+
+    given = spark.createDataFrame(spark.sparkContext.parallelize(rows, len(rows)), "part int, data binary")
+    done = [unpack(bytes(r["data"])) for r in sorted(_map(given, run, "part int, data binary").collect())]  # tables of the common words
+    return tuple(np.concatenate([x[i] for x in done]).astype(np.int64) for i in range(2))
+
+
 ADDED = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
@@ -729,7 +848,7 @@ def train(slices: Slices, s: Settings = Settings()) -> Trained:
         pull = np.full(k, shared.top_pull)
         if number == 0:
             tables, sizes = grow(wanted, pull, shared.top_discount, names, s.seed, 101)
-        tables, sizes = sweep_cells(tables, sizes, wanted, pull, shared.top_discount, names, s.moves, s.seed, number, 1)
+        tables, sizes = sweep_common(spark, tables, sizes, wanted, shared, names, s, number)
         shared = Shared(shared.types, shared.discount, shared.top_discount, s.strength, singles[:n] + vector[:n],
                         int(wanted.sum() + vector[RARE_CUSTOMERS] + singles[STILL_CUSTOMERS]), int(tables.sum() + vector[RARE_TABLES] + singles[STILL_TABLES]), np.zeros(0))
         shared.common = shared.parent(wanted, tables)

@@ -842,6 +842,40 @@ def test_moves_keep_the_exact_law_of_tables():
         assert abs(np.bincount(tables, minlength=c + 1)[1:] / m - law).max() < 0.025
 
 
+def test_a_sweep_seats_all_customers_anew(monkeypatch):
+    assert pitman_yor.Settings().moves is None
+    m, c, pull, d = 8_000, 40, 0.9, 0.6
+    weight = np.zeros((c + 1, c + 1))  # of seatings of so many customers at so many tables, without the pull
+    weight[1, 1] = 1.0
+    for n in range(1, c):
+        for t in range(1, n + 1):
+            weight[n + 1, t] += weight[n, t] * (n - d * t) / n
+            weight[n + 1, t + 1] += weight[n, t] / n
+    law = weight[c] * pull ** np.arange(c + 1)
+    law /= law.sum()
+    names = np.arange(m, dtype=np.uint64) * np.uint64(977)
+    # Who always opens a table leaves none of one table's customers behind, in one sweep.
+    tables, sizes = pitman_yor.sweep_cells(np.ones(9, np.int64), np.full(9, c), np.full(9, c), np.full(9, 1e12), d, names[:9], pitman_yor.Settings().moves, 5)
+    assert (tables == c).all() and (sizes == 1).all()
+    tables, sizes = np.ones(m, np.int64), np.full(m, c)
+    for k in range(30):
+        tables, sizes = pitman_yor.sweep_cells(tables, sizes, np.full(m, c), np.full(m, pull), d, names, pitman_yor.Settings().moves, 5, k)
+    got = np.bincount(tables, minlength=c + 1) / m
+    assert abs((got * np.arange(c + 1)).sum() - (law * np.arange(c + 1)).sum()) < 0.1 and np.abs(got - law).max() < 0.02
+    # Cells worked on together or each by itself have the same seats, whatever their neighbours are.
+    counts = np.array([1, 2, 3, 700, 41, 9, 0, 200])
+    t0, s0 = pitman_yor.grow(counts, np.full(8, 2.0), 0.6, names[:8], 1)
+    results = []
+    for few, together in ((1, 10**6), (100, 10**6), (3, 10), (100, 1)):
+        monkeypatch.setattr(pitman_yor, "FEW", few)
+        monkeypatch.setattr(pitman_yor, "TOGETHER", together)
+        monkeypatch.setattr(pitman_yor, "AHEAD", 7 * few)
+        t, sizes = pitman_yor.sweep_cells(t0, s0, counts + 1, np.full(8, 2.0), 0.6, names[:8], None, 2)
+        assert (np.bincount(np.repeat(np.arange(8), t), sizes, 8) == counts + 1).all()
+        results.append((t.tolist(), sizes.tolist()))
+    assert all(x == results[0] for x in results)
+
+
 def test_seats_grow_shrink_and_stay_in_bounds():
     c = np.array([0, 1, 2, 10, 1000, 100_000])
     names = np.arange(6, dtype=np.uint64)
